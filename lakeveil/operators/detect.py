@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..fixed import ENTITIES, SHORTEST_TERM
 from ..functions.text import clean_form, matches, strip
@@ -96,7 +97,7 @@ def bech32(address: str) -> bool:
     return check == (1 if data[0] == 0 else 0x2BC830A3)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def crypto_valid(values: pd.Series) -> pd.Series:
     return values.map(lambda v: bech32(v) if v.startswith("bc1") else base58check(v))
 
