@@ -208,5 +208,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, keep: tuple[
         kept = batch.filter(pa.array(model.value.score(x) >= threshold))
         return kept.drop_columns(["words_text"])
 
-    df = docs.select(*keep, docs[text].cast("string").alias("words_text"))
-    return df.mapInArrow(per_slice(rows), T.StructType([df.schema[c] for c in keep]))
+    df = docs.select(*(docs[c].alias(f"keep_{c}") for c in keep), docs[text].cast("string").alias("words_text"))
+    kept = df.mapInArrow(per_slice(rows), T.StructType(df.schema.fields[:-1]))
+    return kept.select(*(F.col(f"keep_{c}").alias(c) for c in keep))

@@ -50,7 +50,7 @@ def strength(groups: DataFrame) -> float:
     """The weight of the prior, in pages, that the spread of groups (n, bad) speaks for."""
     t = groups.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("s"), F.count("*").alias("m")).first()
     if not t.n or not 0 < t.bad < t.n:
-        return 10.0
+        return 2.0
     p = t.bad / t.n
     spread = t.s - t.bad * p  # sum of n (share - p)^2
     rest = t.n - t.n2 / t.n - (t.m - 1)

@@ -121,7 +121,7 @@ WITH cut AS (
   FROM (SELECT 'host' AS level, n, bad FROM by_host UNION ALL SELECT 'domain', n, bad FROM by_domain UNION ALL SELECT 'suffix', n, bad FROM by_suffix)
   WHERE n > 0 GROUP BY level
 ), strengths AS (
-  SELECT l.level, CASE WHEN s.level IS NULL OR s.bad <= 0 OR s.bad >= s.n THEN 10.0 ELSE 1 / least(0.5, greatest(0.001,
+  SELECT l.level, CASE WHEN s.level IS NULL OR s.bad <= 0 OR s.bad >= s.n THEN 2.0 ELSE 1 / least(0.5, greatest(0.001,
     CASE WHEN s.n - s.n2 / s.n - (s.m - 1) > 0
       THEN ((s.s - s.bad * (s.bad / s.n)) / ((s.bad / s.n) * (1 - s.bad / s.n)) - (s.m - 1)) / (s.n - s.n2 / s.n - (s.m - 1)) ELSE 0 END)) - 1 END AS strength
   FROM (VALUES ('host'), ('domain'), ('suffix')) l(level) LEFT JOIN sums s ON s.level = l.level
