@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import entity_name, folded
 from ..operators import detect, registry
 
 
@@ -32,7 +32,7 @@ def grow(spark: SparkSession, path: str):
         if done:
             known = spark.read.parquet(*done)
             last = known.groupBy("container", "entity_type").agg(F.max(F.regexp_extract("placeholder", r"_(\d+)$", 1).cast("int")).alias("last"))
-            fresh = batch.withColumn("key", folded(F.col("value"))).join(known.select("container", "entity_type", "key"), ["container", "entity_type", "key"], "left_anti").drop("key")
+            fresh = batch.withColumns({"entity_type": entity_name(F.col("entity_type")), "key": folded(F.col("value"))}).join(known.select("container", "entity_type", "key"), ["container", "entity_type", "key"], "left_anti").drop("key")
             new = registry.assign(fresh).join(last, ["container", "entity_type"], "left")
             k = F.regexp_extract("placeholder", r"_(\d+)$", 1).cast("int") + F.coalesce("last", F.lit(0))
             new = new.withColumn("placeholder", registry.placeholder(F.col("entity_type"), k)).drop("last")
