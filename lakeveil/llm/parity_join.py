@@ -96,7 +96,6 @@ class Bands:
 
     def apart(self, band: int) -> int:
         """The same for a set of a band with one of it or the next."""
-        self.of(self.edges[-1])
         while len(self.edges) <= band + 1:
             self.of(self.edges[-1])
         a = self.edges[band + 1] - 1
