@@ -278,8 +278,10 @@ def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def join_similar(docs: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_shingles, component_id (the least key reachable by links of similarity num / den or more)."""
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    prints = materialize(fingerprints(df, width, num, den), "prints")
-    found = families(prints)
+    with_keys = materialize(fingerprints(df, width, num, den), "prints")
+    found = families(with_keys)
+    prints = materialize(with_keys.drop("keys"), "nodes")
+    forget(with_keys)  # the keys are the largest table here
     bitmap = docs.sparkSession.sparkContext.broadcast(node_filter(found.select("node").union(found.select("component").distinct())))  # FILTER_BITS, whatever the input
     joined = components(verified(found, sets_of(df, bitmap, width), num, den))
     forget(found)
