@@ -2,10 +2,12 @@
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Sets of one size band and the next are joined:
 two sets of at most a and b shingles with a Jaccard similarity of t or more differ in D = (a + b)(1 - t) / (1 + t)
-shingles at most. Every band cuts the hash space into D + 2 parts. In a part, each shingle flips one bit of a 64-bit
-word, so the Hamming distance of two sketches is at most the symmetric difference, and of D + 2 words at least two
-must be equal (pigeonhole). A set therefore emits a key for each word; a part with fewer than two shingles says
-little, so a set with at most one such part leaves it out: another equal part remains.
+shingles at most. Every band cuts the hash space into D + 1 + e parts. In a part, each shingle flips one bit of a
+64-bit word, so the Hamming distance of two sketches is at most the symmetric difference, and of the words at least
+e + 1 must be equal (pigeonhole). A part with few shingles says little, so a set leaves out its e parts with the
+fewest (ties: the lesser part) and emits a key for each of the others: the word, the count, and the XOR of the
+shingles' hashes, which tells apart sets of few shingles that flip the same bits. Of the equal parts, which have equal
+counts, the last in that order is left out by neither set.
 
 Sets that share a key form families (connected components). A family is compared in blocks of at most BLOCK sets: a
 second sketch of 1,024 bits rules pairs out by its Hamming distance, and a pair that isn't joined yet is verified on
@@ -104,21 +106,22 @@ class Bands:
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Sketch words as keys, of the set's band and the one below."""
         band, out = self.of(len(h)), []
-        bits = U(1) << (h & U(63))
+        bits, whole = U(1) << (h & U(63)), mixed(h)
         for group in (band - 1, band):
             apart = self.apart(group) if group > 0 else 0
             if not apart:
                 continue  # only equal sets link
-            parts = apart + 2
+            extra = 2 + 3 * apart // 10
+            parts = apart + 1 + extra
             part = ((h >> U(32)) * U(parts)) >> U(32)
             starts = np.flatnonzero(np.diff(part, prepend=U(parts)))
-            words, counts = np.zeros(parts, U), np.zeros(parts, np.int64)
+            words, hashes, counts = np.zeros(parts, U), np.zeros(parts, U), np.zeros(parts, np.int64)
             words[part[starts]] = np.bitwise_xor.reduceat(bits, starts)
+            hashes[part[starts]] = np.bitwise_xor.reduceat(whole, starts)
             counts[part[starts]] = np.diff(starts, append=len(h))
-            weak = counts < 2
-            name = (np.arange(parts, dtype=U) * U(64) + np.minimum(counts, 63).astype(U)) * U(0x9E3779B97F4A7C15) + U(group)
-            keys = mixed(mixed(name) ^ words)
-            out.append(keys[~weak] if weak.sum() <= 1 else keys)
+            strong = np.argsort(counts, kind="stable")[extra:]
+            name = (strong.astype(U) * U(1 << 20) + counts[strong].astype(U)) * U(0x9E3779B97F4A7C15) + U(group)
+            out.append(mixed(mixed(name ^ words[strong]) ^ hashes[strong]))
         return np.concatenate(out) if out else np.zeros(0, U)
 
 
