@@ -4,7 +4,8 @@ A line is the set of its distinct five-word shingles, its tokens. Tokens are ord
 rarest of their words occurs in all documents (counted by hash bucket, on a scale of half powers of two), then by
 hash. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of the
 longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared token
-bound the overlap further (length and positional filters); what remains is verified on the whole sets.
+bound the overlap further (length and positional filters), and 64 parities of the tokens bound the difference from
+below; what remains is verified on the whole sets.
 
 A line is removed if an earlier one (by key, then place) matches it, whether or not that one is removed itself. One
 earlier match is enough, so lines that share a token are first verified against the earliest of them, and only lines
@@ -19,6 +20,8 @@ Texts of lines are identified by 64-bit hashes, tokens by 56 bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,18 +51,26 @@ def rarity_levels(texts: DataFrame) -> Column:
     return F.lit(levels)
 
 
-def tokens_of(line: Column, levels: Column) -> Column:
-    """Distinct shingles in order of rarity: the level in the high byte, the hash below it."""
-    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
+def with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
+    """Lines with their distinct shingles in order of rarity: the level in the high byte, the hash below it. lines: line.
+
+    A word's hash and level are made once, as columns of their own.
+    """
+    i_to = lambda c, i: [F.get(c, i + k) for k in range(WIDTH)]
+    hashed = lines.withColumn("_h", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("_h") >= WIDTH)
+    ranked = hashed.withColumn("_l", F.transform("_h", lambda x: F.get(levels, F.pmod(x, F.lit(BUCKETS)).cast("int")).cast("bigint")))
+
+    def shingle(i: Column) -> Column:
+        return F.shiftleft(F.least(*i_to(F.col("_l"), i)), 56).bitwiseOR(F.xxhash64(*i_to(F.col("_h"), i)).bitwiseAND(F.lit(HASH_BITS)))
+
+    whole = F.transform(F.sequence(F.lit(0), F.size("_h") - WIDTH), shingle)
+    return ranked.withColumn("tokens", F.sort_array(F.array_distinct(whole))).drop("_h", "_l", "line")
 
-    def shingle(h: Column, i: Column) -> Column:
-        own = [F.get(h, i + k) for k in range(WIDTH)]
-        level = F.least(*(F.get(levels, F.pmod(x, F.lit(BUCKETS)).cast("int")) for x in own))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.xxhash64(*own).bitwiseAND(F.lit(HASH_BITS)))
 
-    # the words' hashes are made once, as the only element that the outer lambda sees
-    sets = F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: shingle(h, i))))
-    return F.sort_array(F.array_distinct(F.get(sets, F.lit(0))))
+def parities(tokens: Column) -> Column:
+    """64 bits, each flipped by the tokens that it stands for: sets differ in as many tokens at least as these in bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -74,9 +85,12 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * 4 / F.lit(9.0) - 1e-9)
 
 
-def could_match(n: Column, m: Column, at: Column, other: Column) -> Column:
-    """Length and positional filters for sizes n, m and the places (from 1) of a shared token."""
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.least(at, other) + F.least(n - at, m - other) >= least_overlap(n, m))
+def could_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length and positional filters for sizes n and the places p (from 1) of a shared token, and the parities s."""
+    n, m = a("n"), b("n")
+    need = least_overlap(n, m)
+    place = F.least(a("p"), b("p")) + F.least(n - a("p"), m - b("p")) >= need
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & place & (F.bit_count(a("s").bitwiseXOR(b("s"))) <= n + m - 2 * need)
 
 
 def matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -96,27 +110,27 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     lines, levels = lines_of(df), rarity_levels(df)
 
-    distinct = lines.groupBy("id").agg(F.min(F.struct("key", "no", "line")).alias("at"), F.count("*").alias("copies"))
-    with_tokens = distinct.select("id", "at.key", "at.no", "copies", tokens_of(F.col("at.line"), levels).alias("tokens")).where("size(tokens) > 0")
+    distinct = lines.groupBy("id").agg(F.min(F.struct("key", "no", "line")).alias("at"))
+    tokens = with_tokens(distinct.select("id", "at.key", "at.no", "at.line"), levels)
     n = F.size("tokens")
     prefix = (n - F.ceil(n * 4 / F.lit(5.0) - 1e-9) + 1).cast("int")
-    rows = with_tokens.select("id", "key", "no", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
+    rows = tokens.select("id", "key", "no", n.alias("n"), parities(F.col("tokens")).alias("s"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
     by_token = Window.partitionBy("token")
-    met = rows.select("token", "id", "key", "no", "n", (F.col("p") + 1).alias("p")).withColumn("many", F.count("*").over(by_token)).where("many > 1")
-    met = materialize(met.withColumn("first", F.min(F.struct("key", "no", "id", "n", "p")).over(by_token)), "prefixes")
+    met = rows.select("token", "id", "key", "no", "n", "s", (F.col("p") + 1).alias("p")).withColumn("many", F.count("*").over(by_token)).where("many > 1")
+    met = materialize(met.withColumn("first", F.min(F.struct("key", "no", "id", "n", "p", "s")).over(by_token)), "prefixes")
 
-    earliest = met.where((F.col("first.id") != F.col("id")) & could_match(F.col("n"), F.col("first.n"), F.col("p"), F.col("first.p")))
+    earliest = met.where((F.col("first.id") != F.col("id")) & could_match(F.col, lambda c: F.col(f"first.{c}")))
     pairs = materialize(earliest.select("id", F.col("first.id").alias("earlier")).distinct(), "pairs")
     later = met.where("many > 2")
     ids = materialize(met.select("id").distinct(), "ids")
-    sets = lines.join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).select("id", tokens_of(F.col("line"), levels).alias("tokens"))
-    sets = materialize(sets, "sets")
+    sets = lines.join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    sets = materialize(with_tokens(sets, levels), "sets")
     found = materialize(matches(pairs, sets), "matches")
 
     undecided = later.join(found, "id", "left_anti")
     a, b = undecided.alias("a"), later.alias("b")
     before = F.struct("b.key", "b.no", "b.id") < F.struct("a.key", "a.no", "a.id")
-    others = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.id") != F.col("a.first.id")) & before & could_match(F.col("a.n"), F.col("b.n"), F.col("a.p"), F.col("b.p")))
+    others = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.id") != F.col("a.first.id")) & before & could_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
     others = others.select(F.col("a.id").alias("id"), F.col("b.id").alias("earlier")).distinct().join(pairs, ["id", "earlier"], "left_anti")
     removed = found.unionByName(matches(others, sets)).distinct()
 
