@@ -8,8 +8,8 @@ bound the overlap further (length and positional filters), and 64 parities of th
 below; what remains is verified on the whole sets.
 
 A line is removed if an earlier one (by key, then place) matches it, whether or not that one is removed itself. One
-earlier match is enough, so lines that share a token are first verified against the earliest of them, and only lines
-without a match there against all others.
+earlier match is enough, so lines that share a token are first verified against the earliest of them, then lines
+without a match there against the next few, and only lines still without one against all others.
 
 A line of fewer words than a shingle is left alone. Lines are parted at line feeds, words at spaces. Null texts stay
 null and have no lines; rows with a null key keep their text and take no part. Of rows with one key, equal lines at
@@ -32,6 +32,8 @@ WIDTH = 5
 BUCKETS = 1 << 15
 #: Rows of one long number each up to which a table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Lines of a token, from the earliest on, that are tried before all others.
+EARLY = 9
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
 HASH_BITS = (1 << 56) - 1
@@ -117,7 +119,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = tokens.select("id", "key", "no", n.alias("n"), parities(F.col("tokens")).alias("s"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
     by_token = Window.partitionBy("token")
     met = rows.select("token", "id", "key", "no", "n", "s", (F.col("p") + 1).alias("p")).withColumn("many", F.count("*").over(by_token)).where("many > 1")
-    met = materialize(met.withColumn("first", F.min(F.struct("key", "no", "id", "n", "p", "s")).over(by_token)), "prefixes")
+    met = met.withColumn("first", F.min(F.struct("key", "no", "id", "n", "p", "s")).over(by_token))
+    met = materialize(met.withColumn("rank", F.row_number().over(by_token.orderBy("key", "no", "id"))), "prefixes")
 
     earliest = met.where((F.col("first.id") != F.col("id")) & could_match(F.col, lambda c: F.col(f"first.{c}")))
     pairs = materialize(earliest.select("id", F.col("first.id").alias("earlier")).distinct(), "pairs")
@@ -127,12 +130,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sets = materialize(with_tokens(sets, levels), "sets")
     found = materialize(matches(pairs, sets), "matches")
 
-    undecided = later.join(found, "id", "left_anti")
-    a, b = undecided.alias("a"), later.alias("b")
-    before = F.struct("b.key", "b.no", "b.id") < F.struct("a.key", "a.no", "a.id")
-    others = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.id") != F.col("a.first.id")) & before & could_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
-    others = others.select(F.col("a.id").alias("id"), F.col("b.id").alias("earlier")).distinct().join(pairs, ["id", "earlier"], "left_anti")
-    removed = found.unionByName(matches(others, sets)).distinct()
+    def against(others: DataFrame) -> DataFrame:
+        """Untested pairs of lines without a match so far with earlier ones of `others`."""
+        a, b = later.join(found, "id", "left_anti").alias("a"), others.alias("b")
+        before = F.struct("b.key", "b.no", "b.id") < F.struct("a.key", "a.no", "a.id")
+        own = (F.col("a.token") == F.col("b.token")) & (F.col("b.id") != F.col("a.first.id")) & before & could_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+        return a.join(b, own).select(F.col("a.id").alias("id"), F.col("b.id").alias("earlier")).distinct().join(pairs, ["id", "earlier"], "left_anti")
+
+    found = materialize(found.unionByName(matches(against(later.where(F.col("rank").between(2, EARLY))), sets)), "matches")
+    removed = found.unionByName(matches(against(later.where(F.col("rank") > EARLY)), sets)).distinct()
 
     firsts = lines.groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"), F.count("*").alias("copies"))
     flags = firsts.join(removed.withColumn("gone", F.lit(True)), "id", "left").where("copies > 1 or gone").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))

@@ -134,6 +134,7 @@ def test_lines_against_all_pairs(spark, seed):
 
 
 def test_lines_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "EARLY", 2)
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rows = lined(3, 20)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in line_dedup.dedup_lines(cases.documents(spark, rows)).collect()))) == sorted(map(repr, brute_lines(rows)))
