@@ -17,7 +17,9 @@ keys too; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -36,27 +38,54 @@ END_ID = 0
 class WordIds:
     """Token ids (little-endian 32-bit) of texts, word by word.
 
-    The tokenizer parts texts at white space before anything else and never joins over it, so ids of the stretches
-    between spaces and line ends, memorised by each worker, are the ids of the text.
+    The tokenizer parts texts at white space, and between letters and punctuation, before anything else; it never
+    joins over such a place and lower-cases what it reads. So the ids of the stretches between spaces and line ends,
+    A-Z lower-cased, are the ids of the text; of a word with punctuation (no apostrophe) behind its last letter, the
+    ids of both parts. Each worker memorises them, in two generations: when the young one is full it becomes the old
+    one, and words that are met again come back. Texts that might hold a special token are encoded whole.
     """
 
+    #: A letter of the Latin alphabets, then ASCII punctuation but the apostrophe.
+    TAIL = re.compile(r"(.*[a-z\xDF-\xF6\xF8-\xFF])([!-&(-/:-@\[-`{-~]+)", re.S)
+
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def exact(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put words into the young generation."""
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old, parts, new = self.young, self.old, {}, set()
+        for w in words.difference(young):
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            elif m := self.TAIL.fullmatch(w.decode()):
+                parts[w] = both = m[1].encode(), m[2].encode()
+                new.update(both)
+            else:
+                new.add(w)
+        todo = []
+        for w in new.difference(young):
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            else:
+                todo.append(w)
+        young.update(zip(todo, self.exact([w.decode() for w in todo])))
+        for w, (head, tail) in parts.items():
+            young[w] = young[head] + young[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = [w for w in {w for words in split for w in words} if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = [None if "<|" in t else t.encode().replace(b"\n", b" ").lower().split(b" ") for t in texts]
+        self.learn(set().union(*filter(None, split)))
+        get = self.young.__getitem__
+        return [self.exact([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
 def tokenize(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
