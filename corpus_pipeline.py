@@ -2,8 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return documents (doc_id, text, lang, source, n_chars), the last one the packed
 pieces. Decisions take effect: rejected documents go, repeated lines are cut out of the texts (a document of which
-only lines shorter than five words are left goes, too), one document of each group of near copies stays, documents
-that share ten words or more with the benchmark go.
+nothing but blank lines is left goes, too), one document of each group of near copies stays, documents that share ten
+words or more with the benchmark go.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line; n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    enough = F.col("text").rlike(f"(?m)^ *(?:[^ \n]+ +){{{line_dedup.WIDTH - 1}}}[^ \n]")
-    kept = kept.where((F.col("n_removed") == 0) | enough)
+    kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)\S"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)
 
 

@@ -41,3 +41,10 @@ def test_each_stage_on_its_own_input(spark, small_dir):
 def test_run_gives_the_last_stage(spark, small_dir):
     assert corpus_pipeline.run(spark, small_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_document_with_a_line_left_stays(spark):
+    same = "one two three four five six seven"
+    rows = [(1, f"{same}\nown words"), (2, f"{same}\nshort\nlines, too"), (3, same), (4, f"{same}\n \t\n"), (5, "x"), (6, " ")]
+    kept = corpus_pipeline.line_repeats(spark, cases.documents(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in kept) == [(1, f"{same}\nown words", 43), (2, "short\nlines, too", 16), (5, "x", 1), (6, " ", 1)]
