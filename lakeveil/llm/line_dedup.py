@@ -11,8 +11,9 @@ A line is removed if an earlier one (by key, then place) matches it, whether or
 earlier match is enough, so lines that share a token are first verified against the earliest of them, then lines
 without a match there against the next few, and only lines still without one against all others.
 
-A line of fewer words than a shingle is left alone. Lines are parted at line feeds, words at spaces. Null texts stay
-null and have no lines; rows with a null key keep their text and take no part. Of rows with one key, equal lines at
+A line of fewer words than a shingle has one token, all its words, as in the n-gram join. Only a line of the same words
+can match it, so it is known by the hash of them and needs no join. Blank lines are left alone. Lines are parted at
+line feeds, words at white space of any kind. Null texts stay null and have no lines; rows with a null key keep their text and take no part. Of rows with one key, equal lines at
 the same place stay, others there are ordered by their hash. An empty table gives an empty result.
 
 Texts of lines are identified by 64-bit hashes, tokens by 56 bits.
@@ -37,15 +38,22 @@ EARLY = 9
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
 HASH_BITS = (1 << 56) - 1
+#: White space but the space itself.
+OTHER_SPACE = r"(?U)[\s&&[^ ]]"
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces for all white space."""
+    return F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.filter(F.split(spaced(line), " "), lambda w: w != "")
 
 
 def rarity_levels(texts: DataFrame) -> Column:
     """A literal array: for each hash bucket of words, half powers of two of its occurrences in all texts. texts: text."""
-    words = texts.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''")
+    words = texts.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
     levels = np.zeros(BUCKETS, np.int32)
     for r in counts:
@@ -76,10 +84,11 @@ def parities(tokens: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(key, no, line, id) of the lines that have as many words as a shingle. docs: key, text."""
+    """(key, no, line, id) of the lines that aren't blank; lines of fewer words than a shingle have the id of their words. docs: key, text."""
     lines = docs.where("key is not null and text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    enough = F.col("line").rlike(f"^ *(?:[^ ]+ +){{{WIDTH - 1}}}[^ ]")
-    return lines.where(enough).select("key", "no", "line", F.xxhash64("line").alias("id"))
+    enough = F.col("line").rlike(rf"(?U)^\s*+(?:\S++\s++){{{WIDTH - 1}}}\S")
+    own = F.when(enough, F.xxhash64("line")).otherwise(F.xxhash64(words_of(F.col("line"))))
+    return lines.where(F.col("line").rlike(r"(?U)\S")).select("key", "no", "line", own.alias("id"))
 
 
 def least_overlap(a: Column, b: Column) -> Column:

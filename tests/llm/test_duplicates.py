@@ -146,6 +146,28 @@ def test_lines_of_nothing_and_of_repeated_rows(spark):
     assert [r.text for r in line_dedup.dedup_lines(cases.documents(spark, same)).collect()] == ["a b c d e f"] * 2
 
 
+def line_set(line):
+    w = line.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def brute_all_lines(rows):
+    """The same for lines of any words: those of fewer than five are one token."""
+    lines = [(k, no, line_set(x)) for k, t in rows if k is not None and t is not None for no, x in enumerate(t.split("\n"))]
+    lines.sort(key=lambda x: x[:2])
+    gone = {(k, no) for i, (k, no, s) in enumerate(lines) if any(cases.linked(s, o, 80, 100) for *_, o in lines[:i])}
+    return [(k, t if k is None or t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone)) for k, t in rows]
+
+
+def test_short_lines_and_all_white_space(spark):
+    rows = [(1, "two words\none\n\nset in tabs\tby\tthe\tdozen"), (2, "two  words\nTwo words\none\r\n \t\n"), (3, "set in tabs by the dozen\ntwo\twords\n一二三四五六七八九十"), (4, "一二三四五六七八九十\nfour words are here\nfour words are")]
+    rows += [(10 + k, t) for k, t in lined(4, 30) if k is not None]
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, brute_all_lines(rows)))
+    kept = {r.doc_id: r.text for r in got}
+    assert [kept[k] for k in (2, 3, 4)] == ["Two words\n \t\n", "一二三四五六七八九十", "four words are here\nfour words are"]
+
+
 def test_line_dedup_runs_no_python(spark, small_dir):
     plan = queries.op7_line_dedup(spark, small_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
