@@ -10,9 +10,9 @@ from .spans import PAGE
 
 
 def rebuild(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pages with their spans (container, page_no, start, end, replacement; disjoint) replaced. Pages without any are left out."""
+    """Pages with their spans (container, page_no, start, end, replacement; disjoint) replaced. Pages without any keep their text."""
     own = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("spans"))
-    both = pages.select(*PAGE, "text").join(own, list(PAGE))
+    both = pages.select(*PAGE, "text").join(own, list(PAGE), "left")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["end"]))
 
     def piece(s: Column, i: Column) -> Column:
@@ -20,7 +20,8 @@ def rebuild(pages: DataFrame, spans: DataFrame) -> DataFrame:
         return F.concat(F.substring(F.col("text"), at.cast("int") + 1, F.greatest(s["start"] - at, F.lit(0)).cast("int")), s["replacement"])
 
     tail = F.substring(F.col("text"), F.element_at("ends", -1).cast("int") + 1, F.length("text"))
-    return both.withColumn("ends", ends).select(*PAGE, F.concat(F.array_join(F.transform("spans", piece), ""), tail).alias("text"))
+    whole = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
+    return both.withColumn("ends", ends).select(*PAGE, F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("text"))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeveil.functions import text
 from lakeveil.operators import detect, export, registry, review, spans, vault, verify
+from lakeveil.plans import queries
 from lakeveil.sources import dictionaries, pages
 
 
@@ -187,3 +188,12 @@ def test_markup_is_scrubbed(spark):
     html = "<title>a</title><meta x><input name=a><select><option>x</select>b"
     assert one(spark, export.without_metadata, html) == "<input name=a><select><option>x</select>b"
     assert one(spark, export.without_widgets, html) == "<title>a</title><meta x>b"
+
+
+def test_exports_hold_every_page(spark, tmp_path):
+    rows = [(0, "mail a@b.org now", "s"), (1, "nothing to find", "s"), (2, "", "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: sorted((r.container, r.page_no, r.text) for r in df.collect())
+    assert texts(queries.export_pseudonymize(spark, str(tmp_path))) == [("s", 0, "mail EMAIL_ADDRESS_001 now"), ("s", 1, "nothing to find"), ("t", 2, "")]
+    assert texts(queries.export_anonymize(spark, str(tmp_path))) == [("s", 0, "mail  now"), ("s", 1, "nothing to find"), ("t", 2, "")]
+    assert [r.same for r in queries.restore_roundtrip(spark, str(tmp_path)).collect()] == [True] * 3
