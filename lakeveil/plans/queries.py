@@ -38,14 +38,25 @@ def patterns(p: DataFrame) -> DataFrame:
     return detect.emails(p).unionByName(detect.cards(p)).unionByName(detect.phones(p))
 
 
+def detections(p: DataFrame) -> DataFrame:
+    """All classes, names and places by the lexicon."""
+    return detect.detect(p, names=inline(p.sparkSession, NAMES, "term string, entity_type string"))
+
+
 def candidates(p: DataFrame) -> DataFrame:
-    """Emails before cards before phones."""
-    order = F.when(F.col("entity_type") == "EMAIL_ADDRESS", 10).when(F.col("entity_type") == "CREDIT_CARD", 11).otherwise(12)
-    return patterns(p).select("container", "page_no", order.alias("priority"), F.col("value").alias("term"), "start", "end", "entity_type")
+    """All detections, in the order of their types."""
+    order = F.array_position(F.lit(list(detect.ORDER)), F.col("entity_type")).cast("int") + 9
+    return detections(p).select("container", "page_no", order.alias("priority"), F.col("value").alias("term"), "start", "end", "entity_type")
+
+
+def blocked(p: DataFrame) -> DataFrame:
+    """Candidates by the block dictionary."""
+    found = spans.occurrences(p, terms(p.sparkSession, BLOCK_TERMS)).withColumns({"priority": F.lit(spans.BLOCK), "entity_type": text.infer_type(F.col("term"))})
+    return found.select("container", "page_no", "priority", "term", "start", "end", "entity_type")
 
 
 def accepted(p: DataFrame, disjoint: bool) -> DataFrame:
-    return spans.resolve(candidates(p), disjoint).select("container", "page_no", "entity_type", F.col("term").alias("value"), "start", "end")
+    return spans.resolve(candidates(p).unionByName(blocked(p)), disjoint).select("container", "page_no", "entity_type", F.col("term").alias("value"), "start", "end")
 
 
 def end_named(df: DataFrame) -> DataFrame:
@@ -200,8 +211,7 @@ def detect_lexicon(spark, d):
 
 
 def detect_all(spark, d):
-    found = detect.detect(document_pages(spark, d), names=inline(spark, NAMES, "term string, entity_type string"))
-    return found.where(F.col("entity_type") != "CRYPTO").groupBy("container", "entity_type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+    return detections(document_pages(spark, d)).groupBy("container", "entity_type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
 
 
 def detect_dedup(spark, d):
@@ -238,7 +248,7 @@ def values_of(found: DataFrame) -> DataFrame:
 
 def detect_occurrences(spark, d):
     p = document_pages(spark, d)
-    return end_named(spans.occurrences(p, values_of(detect.emails(p).unionByName(detect.cards(p))), on_page=True))
+    return end_named(spans.occurrences(p, values_of(detections(p)), on_page=True))
 
 
 def allow_protect(spark, d):
@@ -248,9 +258,7 @@ def allow_protect(spark, d):
 
 def candidate_union(spark, d):
     p = document_pages(spark, d)
-    blocked = spans.occurrences(p, terms(spark, BLOCK_TERMS)).withColumns({"priority": F.lit(2), "entity_type": text.infer_type(F.col("term"))})
-    both = candidates(p).unionByName(blocked.select("container", "page_no", "priority", "term", "start", "end", "entity_type"))
-    return both.groupBy("priority", "entity_type").agg(F.count("*").alias("n"))
+    return candidates(p).unionByName(blocked(p)).groupBy("priority", "entity_type").agg(F.count("*").alias("n"))
 
 
 def resolve_spans(spark, d):
@@ -326,7 +334,7 @@ def export_pseudonymize(spark, d):
 
 def export_anonymize(spark, d):
     p = document_pages(spark, d)
-    return export.export("anonymize", p, candidates(p))
+    return export.export("anonymize", p, candidates(p).unionByName(blocked(p)))
 
 
 def restore_roundtrip(spark, d):
@@ -401,11 +409,9 @@ def review_clear(spark, d):
 def redact_plan(spark, d):
     """Block terms, then detections that no allowed span protects, resolved by priority."""
     p = document_pages(spark, d)
-    blocked = spans.occurrences(p, terms(spark, BLOCK_TERMS)).withColumns({"priority": F.lit(spans.BLOCK), "entity_type": text.infer_type(F.col("term"))})
-    found = spans.protect(spans.occurrences(p, values_of(detect.emails(p).unionByName(detect.cards(p))), on_page=True), spans.occurrences(p, terms(spark, ("mail5.example.com",))))
+    found = spans.protect(spans.occurrences(p, values_of(detections(p)), on_page=True), spans.occurrences(p, terms(spark, ("mail5.example.com",))))
     found = found.withColumn("priority", F.lit(spans.DETECTION))
-    columns = ("container", "page_no", "priority", "term", "start", "end", "entity_type")
-    return end_named(spans.resolve(blocked.select(*columns).unionByName(found.select(*columns)), disjoint=False))
+    return end_named(spans.resolve(blocked(p).unionByName(found.select(*blocked(p).columns)), disjoint=False))
 
 
 Query = Callable[[SparkSession, str], DataFrame]

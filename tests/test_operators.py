@@ -197,3 +197,19 @@ def test_exports_hold_every_page(spark, tmp_path):
     assert texts(queries.export_pseudonymize(spark, str(tmp_path))) == [("s", 0, "mail EMAIL_ADDRESS_001 now"), ("s", 1, "nothing to find"), ("t", 2, "")]
     assert texts(queries.export_anonymize(spark, str(tmp_path))) == [("s", 0, "mail  now"), ("s", 1, "nothing to find"), ("t", 2, "")]
     assert [r.same for r in queries.restore_roundtrip(spark, str(tmp_path)).collect()] == [True] * 3
+
+
+def test_queries_cover_every_class(spark, tmp_path):
+    parts = ["a@b.org", "4111111111111111", "DE89370400440532013000", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "+44 20 7946 0958", "Onthan", "Heitü", "License"]
+    spark.createDataFrame([(0, "; ".join(parts), "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    types = {"EMAIL_ADDRESS", "CREDIT_CARD", "IBAN_CODE", "CRYPTO", "PHONE_NUMBER", "PERSON", "LOCATION"}
+    assert {r.entity_type for r in queries.detect_all(spark, d).collect()} == types
+    assert {r.entity_type for r in queries.detect_occurrences(spark, d).collect()} >= types
+    for query in (queries.export_pseudonymize, queries.export_anonymize):
+        out = query(spark, d).first().text
+        assert not [x for x in parts if x in out]
+    planned = {r.term.lower() for r in queries.redact_plan(spark, d).collect()}
+    assert planned == {x.lower() for x in parts}
+    assert {r.original.lower() for r in queries.placeholder_assign(spark, d).collect()} == planned
+    assert queries.restore_roundtrip(spark, d).first().same
