@@ -282,9 +282,10 @@ def link_removal(spark, d):
 
 
 def hit_test(spark, d):
-    p = document_pages(spark, d)
-    points = p.select("container", "page_no", F.explode(F.sequence(*(F.lit(x).cast("bigint") for x in (0, 4000, 25)))).alias("at"))
-    return end_named(spans.at_point(patterns(p), points))
+    """Findings hit by a point in the middle of each, wherever on the page it lies."""
+    found = patterns(document_pages(spark, d))
+    points = found.select("container", "page_no", F.floor((F.col("start") + F.col("end")) / 2).alias("at")).distinct()
+    return end_named(spans.at_point(found, points))
 
 
 def dict_block_upsert(spark, d):

@@ -213,3 +213,9 @@ def test_queries_cover_every_class(spark, tmp_path):
     assert planned == {x.lower() for x in parts}
     assert {r.original.lower() for r in queries.placeholder_assign(spark, d).collect()} == planned
     assert queries.restore_roundtrip(spark, d).first().same
+
+
+def test_hits_lie_anywhere_on_a_page(spark, tmp_path):
+    rows = [(0, " " * 9001 + "a@b.org", "s"), (1, " a@b.org", "s"), (2, "none", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.page_no, r.start) for r in queries.hit_test(spark, str(tmp_path)).collect()) == [(0, 9001), (1, 1)]
