@@ -1,94 +1,129 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions alone.
 
-A line is the set of its distinct five-word shingles, its tokens. Tokens are ordered by rarity: by how often the
-rarest of their words occurs in all documents (counted by hash bucket, on a scale of half powers of two), then by
-hash. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of the
-longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared token
-bound the overlap further (length and positional filters), and 64 parities of the tokens bound the difference from
-below; what remains is verified on the whole sets.
+A line is the set of its distinct five-word shingles, its tokens. Tokens are ordered by rarity: by how often their
+first word occurs in all documents (counted by hash bucket, in powers of two), then by that word's hash, then by the
+hash of all five. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1
+of the longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared
+token bound the overlap further (length and positional filters), and 256 parities of the tokens bound the difference
+from below; what remains is verified on the whole sets.
 
 A line is removed if an earlier one (by key, then place) matches it, whether or not that one is removed itself. One
-earlier match is enough, so lines that share a token are first verified against the earliest of them, then lines
-without a match there against the next few, and only lines still without one against all others.
-
-A line of fewer words than a shingle has one token, all its words, as in the n-gram join. Only a line of the same words
-can match it, so it is known by the hash of them and needs no join. Blank lines are left alone. Lines are parted at
-line feeds, words at white space of any kind. Null texts stay null and have no lines; rows with a null key keep their text and take no part. Of rows with one key, equal lines at
-the same place stay, others there are ordered by their hash. An empty table gives an empty result.
-
-Texts of lines are identified by 64-bit hashes, tokens by 56 bits.
+earlier match is enough, so lines that share a token are compared in rounds: first with the earliest of them, then the
+lines without a match so far with samples of the others that grow eightfold, at last with all of them. A line with
+many matches is settled by a small sample, so the compared pairs grow with the lines and not with the square of a
+family's size; lines without any match meet all that the filters let through.
+
+Steps: (1) every line's prefix, which needs the hashes of its prefix shingles alone; (2) tokens that different lines
+share, counted with map-side sums; (3) whole sets of the lines that have one; (4) the rounds; (5) the documents rebuilt.
+
+A line of fewer words than a shingle has no token; only a line of the same words matches it, so it is known by the hash
+of its words and needs no join. Blank lines are left alone. Lines are parted at line feeds, words at white space of any
+kind, so lines that differ in white space alone are the same. Null texts stay null and have no lines; rows with a null
+key keep their text and take no part. Rows with one key are not told apart: equal lines at the same place of them
+count as one place and stay, others there are ordered by their hash. Other columns stay as they are, whatever their
+names. Very long lines are sets like others. An empty table gives an empty result.
+
+Lines are known by 128 bits, tokens by 63 bits (20 of the first word, 43 of all five).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import clean_shuffles, forget, materialize
 
 WIDTH = 5
 BUCKETS = 1 << 15
-#: Rows of one long number each up to which a table is broadcast; a larger one is joined by shuffle.
+#: Rows of a few numbers each up to which a table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Lines of a token, from the earliest on, that are tried before all others.
-EARLY = 9
+#: Lines of a token that the rounds after the first compare with, as expected sizes of samples; the last round takes all.
+SAMPLES = (8, 64, 512)
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
-HASH_BITS = (1 << 56) - 1
-#: White space but the space itself.
-OTHER_SPACE = r"(?U)[\s&&[^ ]]"
+HASH = (1 << 43) - 1
+#: White space but the space and the line feed: of one byte, and of more.
+ASCII_SPACE = "\t\v\f\r"
+WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def spaced(text: Column) -> Column:
-    """The text with spaces for all white space."""
-    return F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
-
-
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(spaced(line), " "), lambda w: w != "")
+    """The text with spaces for all white space but line feeds; places stay. Plain searches go before the pattern."""
+    any_of = lambda chars: reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in chars))
+    odd = any_of(ASCII_SPACE) | ((F.octet_length(text) > F.length(text)) & any_of(WIDE_SPACE))
+    return F.when(odd, F.regexp_replace(text, f"[{ASCII_SPACE}{WIDE_SPACE}]", " ")).otherwise(text)
 
 
 def rarity_levels(texts: DataFrame) -> Column:
-    """A literal array: for each hash bucket of words, half powers of two of its occurrences in all texts. texts: text."""
-    words = texts.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
-    levels = np.zeros(BUCKETS, np.int32)
+    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts. texts: text."""
+    words = texts.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
+    levels = [0] * BUCKETS
     for r in counts:
-        levels[r.b] = int(2 * np.log2(r.n + 1))
-    return F.lit(levels)
+        levels[r.b] = (r.n + 1).bit_length() - 1
+    return F.from_json(F.lit(str(levels)), "array<int>")
 
 
-def with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
-    """Lines with their distinct shingles in order of rarity: the level in the high byte, the hash below it. lines: line.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(key, no, line) of the lines that aren't blank. docs: key, text, neither null."""
+    return docs.select("key", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("no", "line")).where(F.trim("line") != "")
 
-    A word's hash and level are made once, as columns of their own.
-    """
-    i_to = lambda c, i: [F.get(c, i + k) for k in range(WIDTH)]
-    hashed = lines.withColumn("_h", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("_h") >= WIDTH)
-    ranked = hashed.withColumn("_l", F.transform("_h", lambda x: F.get(levels, F.pmod(x, F.lit(BUCKETS)).cast("int")).cast("bigint")))
 
-    def shingle(i: Column) -> Column:
-        return F.shiftleft(F.least(*i_to(F.col("_l"), i)), 56).bitwiseOR(F.xxhash64(*i_to(F.col("_h"), i)).bitwiseAND(F.lit(HASH_BITS)))
+def hashed(lines: DataFrame) -> DataFrame:
+    """With the hashes of the line's words (h), and of all of them (id), in place of the line."""
+    words = lines.withColumn("h", F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).drop("line")
+    return words.withColumn("id", F.struct(F.xxhash64("h").alias("a"), F.xxhash64(F.lit(1), "h").alias("b")))
 
-    whole = F.transform(F.sequence(F.lit(0), F.size("_h") - WIDTH), shingle)
-    return ranked.withColumn("tokens", F.sort_array(F.array_distinct(whole))).drop("_h", "_l", "line")
 
+def starts(h: Column, levels: Column) -> Column:
+    """The order of shingles by their first words: level and some bits of the hash, in the high bits."""
 
-def parities(tokens: Column) -> Column:
-    """64 bits, each flipped by the tokens that it stands for: sets differ in as many tokens at least as these in bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+    def start(x: Column) -> Column:
+        level = F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("bigint")
+        return F.shiftleft(level, 57).bitwiseOR(x.bitwiseAND(F.lit(((1 << 57) - 1) & ~HASH)))
 
+    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), start)
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(key, no, line, id) of the lines that aren't blank; lines of fewer words than a shingle have the id of their words. docs: key, text."""
-    lines = docs.where("key is not null and text is not null").select("key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    enough = F.col("line").rlike(rf"(?U)^\s*+(?:\S++\s++){{{WIDTH - 1}}}\S")
-    own = F.when(enough, F.xxhash64("line")).otherwise(F.xxhash64(words_of(F.col("line"))))
-    return lines.where(F.col("line").rlike(r"(?U)\S")).select("key", "no", "line", own.alias("id"))
+
+def token(start: Column, h: Column, at: Column) -> Column:
+    words = F.xxhash64(*(F.get(h, at + k) for k in range(WIDTH)))
+    return start.bitwiseOR(words.bitwiseAND(F.lit(HASH)))
+
+
+def longer_prefix(n: Column) -> Column:
+    """Tokens of a set of n of which a match that is no longer has one in its own shorter prefix."""
+    return (n - F.ceil(n * 4 / F.lit(5.0) - 1e-9) + 1).cast("int")
+
+
+def shorter_prefix(n: Column) -> Column:
+    return (n - F.ceil(n * 8 / F.lit(9.0) - 1e-9) + 1).cast("int")
+
+
+def with_prefix(lines: DataFrame, levels: Column) -> DataFrame:
+    """Lines (key, no, id) with a prefix: the tokens that start with the rarest words.
+
+    It takes as many different first words as the prefix of a set of all the line's shingles has tokens, and every
+    shingle that starts with them, so it holds the prefix, and only these shingles are hashed.
+    """
+    started = lines.withColumn("start", starts(F.col("h"), levels)).withColumn("n", F.size("start"))
+    placed = started.withColumn("firsts", F.sort_array("start")).withColumn("places", F.sort_array(F.transform("start", lambda x, i: x.bitwiseOR(i.cast("bigint")))))
+    beyond = F.get(F.array_distinct("firsts"), longer_prefix(F.col("n")))
+    many = placed.withColumn("beyond", beyond).withColumn("m", F.when(F.col("beyond").isNull(), F.col("n")).otherwise(F.array_position("firsts", F.col("beyond")) - 1).cast("int"))
+    parted = F.transform(F.slice("places", F.lit(1), F.col("m")), lambda x: F.struct(x.bitwiseAND(F.lit(~HASH)).alias("start"), x.bitwiseAND(F.lit(HASH)).cast("int").alias("at")))
+    own = F.transform(parted, lambda x: token(x["start"], F.col("h"), x["at"]))
+    return many.select("key", "no", "id", F.array_distinct(own).alias("prefix"))
+
+
+def with_sets(lines: DataFrame, levels: Column) -> DataFrame:
+    """Lines (at least WIDTH words; h) with their tokens in order, their number n, and parities s0 to s3."""
+    started = lines.withColumn("start", starts(F.col("h"), levels))
+    whole = F.transform("start", lambda x, i: token(x, F.col("h"), i))
+    sets = started.withColumn("tokens", F.sort_array(F.array_distinct(whole))).drop("start", "h").withColumn("n", F.size("tokens"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda i: F.filter("tokens", lambda t: t.bitwiseAND(F.lit(192)) == 64 * i)
+    return sets.withColumns({f"s{i}": F.aggregate(part(i), F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t))) for i in range(4)})
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -96,19 +131,27 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * 4 / F.lit(9.0) - 1e-9)
 
 
-def could_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Length and positional filters for sizes n and the places p (from 1) of a shared token, and the parities s."""
-    n, m = a("n"), b("n")
+def could_match(placed: bool) -> Column:
+    """Length filter and parities for rows of a and b; with the places p (from 0) of a shared token, prefix and positional filters, too."""
+    n, m = F.col("a.n"), F.col("b.n")
     need = least_overlap(n, m)
-    place = F.least(a("p"), b("p")) + F.least(n - a("p"), m - b("p")) >= need
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & place & (F.bit_count(a("s").bitwiseXOR(b("s"))) <= n + m - 2 * need)
+    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    fits = (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (apart <= n + m - 2 * need)
+    if not placed:
+        return fits
+    p, q = F.col("a.p"), F.col("b.p")
+    prefix = F.when(n <= m, p < shorter_prefix(n)).otherwise(q < shorter_prefix(m))
+    return fits & prefix & (F.least(p, q) + F.least(n - p, m - q) >= need)
 
 
 def matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ids (id) of pairs (id, earlier) whose sets (id, tokens) are similar enough."""
-    one, other = sets.select("id", F.col("tokens").alias("a")), sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("b"))
-    both = pairs.join(one, "id").join(other, "earlier").withColumn("common", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("common") * 5 >= (F.size("a") + F.size("b") - F.col("common")) * 4).select("id").distinct()
+    """The lines (ord) of pairs (ord, earlier) whose sets are similar enough. Only sets that a pair names are moved."""
+    pairs = materialize(pairs, "pairs")
+    named = small_side(pairs)
+    one = named.join(sets.select("ord", F.col("tokens").alias("x")), "ord")
+    other = sets.select(F.col("ord").alias("earlier"), F.col("tokens").alias("y")).join(named.select("earlier"), "earlier", "left_semi")
+    both = one.join(other, "earlier").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") * 5 >= (F.size("x") + F.size("y") - F.col("common")) * 4).select("ord").distinct()
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -116,48 +159,64 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def repeats(sets: DataFrame) -> DataFrame:
+    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens, n, s0 to s3."""
+    narrow = ("ord", "n", "s0", "s1", "s2", "s3")
+    rows = sets.select(*narrow, F.posexplode(F.slice("tokens", F.lit(1), longer_prefix(F.col("n")))).alias("p", "token"))
+    groups = rows.groupBy("token").agg(F.min("ord").alias("first"), F.count("*").alias("many")).where("many > 1")
+    met = materialize(rows.join(groups, "token"), "met")
+
+    earliest = met.where("first < ord").select("ord", "first").distinct().join(sets.select(*narrow), "ord").alias("a")
+    earliest = earliest.join(sets.select(*narrow).alias("b"), F.col("a.first") == F.col("b.ord")).where(could_match(False))
+    found = materialize(matches(earliest.select(F.col("a.ord").alias("ord"), F.col("a.first").alias("earlier")), sets), "found")
+
+    share = F.pmod(F.xxhash64("ord"), F.lit(1 << 20)) * F.col("many") / F.lit(float(1 << 20))  # places a line among those of a token, at random
+    largest = met.agg(F.max("many")).first()[0] or 0
+    least = 0.0
+    for most in (*SAMPLES, None):
+        if largest <= max(2.0, least):
+            break
+        rest = met.where(F.col("many") > max(2.0, least)).join(small_side(found), "ord", "left_anti")
+        others = met.where(share >= least) if most is None else met.where((share >= least) & (share < most))
+        met_again = rest.alias("a").join(others.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.ord") < F.col("a.ord")) & (F.col("b.ord") != F.col("a.first")) & could_match(True))
+        pairs = met_again.select(F.col("a.ord").alias("ord"), F.col("b.ord").alias("earlier")).distinct()
+        new = materialize(found.unionByName(matches(pairs, sets)), "found")
+        forget(found)
+        found, least = new, float(most or 0)
+    forget(met)
+    return found
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of the documents with all its columns, the text without its repeated lines, and n_lines and n_removed."""
-    df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
     lines, levels = lines_of(df), rarity_levels(df)
-
-    distinct = lines.groupBy("id").agg(F.min(F.struct("key", "no", "line")).alias("at"))
-    tokens = with_tokens(distinct.select("id", "at.key", "at.no", "at.line"), levels)
-    n = F.size("tokens")
-    prefix = (n - F.ceil(n * 4 / F.lit(5.0) - 1e-9) + 1).cast("int")
-    rows = tokens.select("id", "key", "no", n.alias("n"), parities(F.col("tokens")).alias("s"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("p", "token"))
-    by_token = Window.partitionBy("token")
-    met = rows.select("token", "id", "key", "no", "n", "s", (F.col("p") + 1).alias("p")).withColumn("many", F.count("*").over(by_token)).where("many > 1")
-    met = met.withColumn("first", F.min(F.struct("key", "no", "id", "n", "p", "s")).over(by_token))
-    met = materialize(met.withColumn("rank", F.row_number().over(by_token.orderBy("key", "no", "id"))), "prefixes")
-
-    earliest = met.where((F.col("first.id") != F.col("id")) & could_match(F.col, lambda c: F.col(f"first.{c}")))
-    pairs = materialize(earliest.select("id", F.col("first.id").alias("earlier")).distinct(), "pairs")
-    later = met.where("many > 2")
-    ids = materialize(met.select("id").distinct(), "ids")
-    sets = lines.join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    sets = materialize(with_tokens(sets, levels), "sets")
-    found = materialize(matches(pairs, sets), "matches")
-
-    def against(others: DataFrame) -> DataFrame:
-        """Untested pairs of lines without a match so far with earlier ones of `others`."""
-        a, b = later.join(found, "id", "left_anti").alias("a"), others.alias("b")
-        before = F.struct("b.key", "b.no", "b.id") < F.struct("a.key", "a.no", "a.id")
-        own = (F.col("a.token") == F.col("b.token")) & (F.col("b.id") != F.col("a.first.id")) & before & could_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-        return a.join(b, own).select(F.col("a.id").alias("id"), F.col("b.id").alias("earlier")).distinct().join(pairs, ["id", "earlier"], "left_anti")
-
-    found = materialize(found.unionByName(matches(against(later.where(F.col("rank").between(2, EARLY))), sets)), "matches")
-    removed = found.unionByName(matches(against(later.where(F.col("rank") > EARLY)), sets)).distinct()
-
-    firsts = lines.groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"), F.count("*").alias("copies"))
-    flags = firsts.join(removed.withColumn("gone", F.lit(True)), "id", "left").where("copies > 1 or gone").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    every = materialize(with_prefix(hashed(lines), levels), "lines")
+
+    tokens = every.select(F.col("id.a").alias("a"), F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token")
+    shared = materialize(shared, "shared")
+    some = materialize(tokens.join(shared.hint("shuffle_hash"), "token").select("a").distinct(), "some")
+    first = every.join(small_side(some), F.col("id.a") == F.col("a"), "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("at"))
+    ordered = materialize(first.orderBy("at", "id").select("id", "at", F.monotonically_increasing_id().alias("ord")), "ordered")
+    at = ordered.select("at.key", "at.no", "ord", F.col("id").alias("own"))
+    there = hashed(lines.join(small_side(at), ["key", "no"])).where(F.col("id") == F.col("own"))
+    sets = materialize(with_sets(there.groupBy("ord").agg(F.any_value("h").alias("h")), levels), "sets")
+    removed = repeats(sets).join(ordered.select("ord", "id"), "ord").select("id", F.lit(True).alias("gone"))
+    forget(shared, some, sets)
+
+    copies = every.groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"), F.count("*").alias("copies"))
+    flags = copies.join(removed, "id", "left").where("copies > 1 or gone").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     flags = materialize(flags, "flags")
     if flags.count() <= BROADCAST_ROWS:
-        marked = lines.select("key", "no", "id").join(F.broadcast(flags), "id")
+        marked = every.select("key", "no", "id").join(F.broadcast(flags), "id")
     else:
-        copies = flags.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-        marked = lines.select("key", "no", "id", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")).join(copies, ["id", "salt"])
+        salted = flags.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        marked = every.select("key", "no", "id", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")).join(salted, ["id", "salt"])
     gone = marked.where(F.col("gone") | (F.struct("key", "no") != F.col("first"))).groupBy("key").agg(F.collect_set("no").alias("gone"))
+    gone = materialize(gone, "gone")
+    forget(every, ordered, flags)
+    clean_shuffles(docs.sparkSession)
     return without_lines(docs, gone, key, text)
 
 
@@ -169,7 +228,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str, text: str) -> Data
     lines = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     out = df.withColumn("_lines", F.when(F.size("_gone") > 0, lines))
-    n_lines = F.when(F.col("_text") == "", 0).otherwise(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1)
+    n_lines = F.when(F.col("_text") == "", 0).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
     fields = [F.array_join(kept, "\n") if c == text else F.col(f"_row.{c}") for c in docs.columns]
     fields = [F.when(F.size("_gone") > 0, x).otherwise(F.col("_text")).alias(c) if c == text else x.alias(c) for c, x in zip(docs.columns, fields)]
     return out.select(*fields, F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.when(F.size("_gone") > 0, F.size("_gone")), F.lit(0)).cast("bigint").alias("n_removed"))

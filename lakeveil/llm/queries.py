@@ -163,10 +163,11 @@ FROM sets s LEFT JOIN classes c ON c.s = s.s LEFT JOIN roots r ON r.class = c.cl
 LINES_SQL = """
 WITH lines AS (
   SELECT doc_id, no, l[no] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))
-), words AS (SELECT line, min((doc_id, no)) AS place, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM lines GROUP BY line),
-sets AS (
-  SELECT row_number() OVER (ORDER BY place) AS id, line, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM words WHERE len(w) >= 5
+), words AS (
+  SELECT line, min((doc_id, no)) AS place, list_filter(regexp_split_to_array(line, '[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda w: w <> '') AS w FROM lines GROUP BY line
+), sets AS (
+  SELECT row_number() OVER (ORDER BY place) AS id, line, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words WHERE len(w) > 0
 ), one AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
 common AS (SELECT b.id, b.n + a.n AS total, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4 GROUP BY a.id, b.id, a.n, b.n),
 gone AS (SELECT DISTINCT id FROM common WHERE c * 5 >= (total - c) * 4),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -21,19 +22,28 @@ MEMO = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests, one machine), an own one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, an own one on one machine, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = getattr(spark, "_lakeveil_dir", None) or tempfile.mkdtemp(prefix="lakeveil-")
         spark._lakeveil_dir = path
     return path.rstrip("/")
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeveil-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    clean_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeveil_path = path
     return out

@@ -92,16 +92,17 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
-def line_tokens(line):
-    w = [x for x in line.split(" ") if x]
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+def line_set(line):
+    """The five-word shingles of a line; all its words, if there are fewer."""
+    w = line.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
 
 
 def brute_lines(rows):
     """Texts without lines that an earlier line matches."""
-    lines = [(k, no, x, line_tokens(x)) for k, t in rows if k is not None and t is not None for no, x in enumerate(t.split("\n"))]
+    lines = [(k, no, line_set(x)) for k, t in rows if k is not None and t is not None for no, x in enumerate(t.split("\n"))]
     lines.sort(key=lambda x: x[:2])
-    gone = {(k, no) for i, (k, no, _, s) in enumerate(lines) if s and any(o and cases.linked(s, o, 80, 100) for *_, o in lines[:i])}
+    gone = {(k, no) for i, (k, no, s) in enumerate(lines) if any(cases.linked(s, o, 80, 100) for *_, o in lines[:i])}
     return [(k, t if k is None or t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone)) for k, t in rows]
 
 
@@ -133,37 +134,31 @@ def test_lines_against_all_pairs(spark, seed):
         assert r.n_lines == (len(t.split("\n")) if t else 0)
 
 
-def test_lines_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "EARLY", 2)
+@pytest.mark.parametrize("samples", [(), (1, 3)])
+def test_lines_joined_by_shuffle_and_in_rounds(spark, monkeypatch, samples):
+    monkeypatch.setattr(line_dedup, "SAMPLES", samples)
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rows = lined(3, 20)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in line_dedup.dedup_lines(cases.documents(spark, rows)).collect()))) == sorted(map(repr, brute_lines(rows)))
 
 
+def test_lines_of_a_large_family(spark):
+    rows = [(i, "\n".join(t for _, t in family(3, seed=i))) for i in range(60)]  # each line differs from most others by about the limit
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(brute_lines(rows))
+
+
 def test_lines_of_nothing_and_of_repeated_rows(spark):
     assert line_dedup.dedup_lines(cases.documents(spark, [])).collect() == []
     same = [(1, "a b c d e f\na b c d e f"), (1, "a b c d e f\na b c d e f")]
     assert [r.text for r in line_dedup.dedup_lines(cases.documents(spark, same)).collect()] == ["a b c d e f"] * 2
 
 
-def line_set(line):
-    w = line.split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
-
-
-def brute_all_lines(rows):
-    """The same for lines of any words: those of fewer than five are one token."""
-    lines = [(k, no, line_set(x)) for k, t in rows if k is not None and t is not None for no, x in enumerate(t.split("\n"))]
-    lines.sort(key=lambda x: x[:2])
-    gone = {(k, no) for i, (k, no, s) in enumerate(lines) if any(cases.linked(s, o, 80, 100) for *_, o in lines[:i])}
-    return [(k, t if k is None or t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone)) for k, t in rows]
-
-
 def test_short_lines_and_all_white_space(spark):
     rows = [(1, "two words\none\n\nset in tabs\tby\tthe\tdozen"), (2, "two  words\nTwo words\none\r\n \t\n"), (3, "set in tabs by the dozen\ntwo\twords\n一二三四五六七八九十"), (4, "一二三四五六七八九十\nfour words are here\nfour words are")]
     rows += [(10 + k, t) for k, t in lined(4, 30) if k is not None]
     got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
-    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, brute_all_lines(rows)))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, brute_lines(rows)))
     kept = {r.doc_id: r.text for r in got}
     assert [kept[k] for k in (2, 3, 4)] == ["Two words\n \t\n", "一二三四五六七八九十", "four words are here\nfour words are"]
 
