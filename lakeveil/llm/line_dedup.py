@@ -4,7 +4,7 @@ A line is the set of its distinct five-word shingles, its tokens. Tokens are ord
 first word occurs in all documents (counted by hash bucket, in powers of two), then by that word's hash, then by the
 hash of all five. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1
 of the longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared
-token bound the overlap further (length and positional filters), and 256 parities of the tokens bound the difference
+token bound the overlap further (length and positional filters), and 128 parities of the tokens bound the difference
 from below; what remains is verified on the whole sets.
 
 A line is removed if an earlier one (by key, then place) matches it, whether or not that one is removed itself. One
@@ -13,7 +13,7 @@ lines without a match so far with samples of the others that grow eightfold, at
 many matches is settled by a small sample, so the compared pairs grow with the lines and not with the square of a
 family's size; lines without any match meet all that the filters let through.
 
-Steps: (1) every line's prefix, which needs the hashes of its prefix shingles alone; (2) tokens that different lines
+Steps: (1) every line's prefix, for which only the prefix's shingles are hashed; (2) tokens that different lines
 share, counted with map-side sums; (3) whole sets of the lines that have one; (4) the rounds; (5) the documents rebuilt.
 
 A line of fewer words than a shingle has no token; only a line of the same words matches it, so it is known by the hash
@@ -36,14 +36,19 @@ from pyspark.sql import functions as F
 from .shared import clean_shuffles, forget, materialize
 
 WIDTH = 5
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 #: Rows of a few numbers each up to which a table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for a table of one number a row.
+BROADCAST_TOKENS = 2_000_000
 #: Lines of a token that the rounds after the first compare with, as expected sizes of samples; the last round takes all.
 SAMPLES = (8, 64, 512)
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
+#: Bits of a token: above these the level of its first word, of which these are, and of all words.
+FIRST = ((1 << 57) - 1) & ~((1 << 43) - 1)
 HASH = (1 << 43) - 1
+MOST = (1 << 63) - 1
 #: White space but the space and the line feed: of one byte, and of more.
 ASCII_SPACE = "\t\v\f\r"
 WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -57,13 +62,13 @@ def spaced(text: Column) -> Column:
 
 
 def rarity_levels(texts: DataFrame) -> Column:
-    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts. texts: text."""
-    words = texts.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts, in its place in a token. texts: text."""
+    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
     levels = [0] * BUCKETS
     for r in counts:
-        levels[r.b] = (r.n + 1).bit_length() - 1
-    return F.from_json(F.lit(str(levels)), "array<int>")
+        levels[r.b] = ((r.n + 1).bit_length() - 1) << 57
+    return F.from_json(F.lit(str(levels)), "array<bigint>")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -78,13 +83,9 @@ def hashed(lines: DataFrame) -> DataFrame:
 
 
 def starts(h: Column, levels: Column) -> Column:
-    """The order of shingles by their first words: level and some bits of the hash, in the high bits."""
-
-    def start(x: Column) -> Column:
-        level = F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("bigint")
-        return F.shiftleft(level, 57).bitwiseOR(x.bitwiseAND(F.lit(((1 << 57) - 1) & ~HASH)))
-
-    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), start)
+    """The order of a line's shingles by their first words: level and some bits of the hash, in the high bits."""
+    own = lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
+    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), lambda x: own(x).bitwiseOR(x.bitwiseAND(F.lit(FIRST))))
 
 
 def token(start: Column, h: Column, at: Column) -> Column:
@@ -101,29 +102,27 @@ def shorter_prefix(n: Column) -> Column:
     return (n - F.ceil(n * 8 / F.lit(9.0) - 1e-9) + 1).cast("int")
 
 
-def with_prefix(lines: DataFrame, levels: Column) -> DataFrame:
-    """Lines (key, no, id) with a prefix: the tokens that start with the rarest words.
+def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
+    """(key, no, id, token) of lines (key, no, id, h): a row without a token for each line, and one for each token of its prefix.
 
-    It takes as many different first words as the prefix of a set of all the line's shingles has tokens, and every
-    shingle that starts with them, so it holds the prefix, and only these shingles are hashed.
+    A prefix takes as many different first words as the prefix of a set of all the line's shingles has tokens, and
+    every shingle that starts with them, so only these shingles are hashed. What a line is cut at is worked out in a
+    lambda, which keeps it out of the loop over its words.
     """
-    started = lines.withColumn("start", starts(F.col("h"), levels)).withColumn("n", F.size("start"))
-    placed = started.withColumn("firsts", F.sort_array("start")).withColumn("places", F.sort_array(F.transform("start", lambda x, i: x.bitwiseOR(i.cast("bigint")))))
-    beyond = F.get(F.array_distinct("firsts"), longer_prefix(F.col("n")))
-    many = placed.withColumn("beyond", beyond).withColumn("m", F.when(F.col("beyond").isNull(), F.col("n")).otherwise(F.array_position("firsts", F.col("beyond")) - 1).cast("int"))
-    parted = F.transform(F.slice("places", F.lit(1), F.col("m")), lambda x: F.struct(x.bitwiseAND(F.lit(~HASH)).alias("start"), x.bitwiseAND(F.lit(HASH)).cast("int").alias("at")))
-    own = F.transform(parted, lambda x: token(x["start"], F.col("h"), x["at"]))
-    return many.select("key", "no", "id", F.array_distinct(own).alias("prefix"))
+    started = lines.withColumn("start", starts(F.col("h"), levels))
+    cut = F.transform(F.array(F.array_distinct(F.sort_array("start"))), lambda firsts: F.coalesce(F.get(firsts, longer_prefix(F.size("start"))), F.lit(MOST)))
+    rows = started.withColumn("cut", F.get(cut, F.lit(0))).select("key", "no", "id", "h", "cut", F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), "start")).alias("i", "x")).where(F.coalesce(F.col("x") < F.col("cut"), F.lit(False)))
+    return rows.select("key", "no", "id", F.when(F.col("i") > 0, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
 
 
 def with_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """Lines (at least WIDTH words; h) with their tokens in order, their number n, and parities s0 to s3."""
+    """Lines (at least WIDTH words; h) with their tokens in order, their number n, and 128 parities s0 and s1."""
     started = lines.withColumn("start", starts(F.col("h"), levels))
     whole = F.transform("start", lambda x, i: token(x, F.col("h"), i))
-    sets = started.withColumn("tokens", F.sort_array(F.array_distinct(whole))).drop("start", "h").withColumn("n", F.size("tokens"))
+    sets = started.withColumn("tokens", F.array_distinct(F.sort_array(whole))).drop("start", "h")
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda i: F.filter("tokens", lambda t: t.bitwiseAND(F.lit(192)) == 64 * i)
-    return sets.withColumns({f"s{i}": F.aggregate(part(i), F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t))) for i in range(4)})
+    parities = [F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * i), F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t))).alias(f"s{i}") for i in (0, 1)]
+    return sets.select("*", F.size("tokens").alias("n"), *parities)
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -135,7 +134,7 @@ def could_match(placed: bool) -> Column:
     """Length filter and parities for rows of a and b; with the places p (from 0) of a shared token, prefix and positional filters, too."""
     n, m = F.col("a.n"), F.col("b.n")
     need = least_overlap(n, m)
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     fits = (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (apart <= n + m - 2 * need)
     if not placed:
         return fits
@@ -154,14 +153,14 @@ def matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") * 5 >= (F.size("x") + F.size("y") - F.col("common")) * 4).select("ord").distinct()
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
     """Marked for broadcast if it has few rows, else as it is. df: a written table of numbers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def repeats(sets: DataFrame) -> DataFrame:
-    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens, n, s0 to s3."""
-    narrow = ("ord", "n", "s0", "s1", "s2", "s3")
+    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens, n, s0, s1."""
+    narrow = ("ord", "n", "s0", "s1")
     rows = sets.select(*narrow, F.posexplode(F.slice("tokens", F.lit(1), longer_prefix(F.col("n")))).alias("p", "token"))
     groups = rows.groupBy("token").agg(F.min("ord").alias("first"), F.count("*").alias("many")).where("many > 1")
     met = materialize(rows.join(groups, "token"), "met")
@@ -191,22 +190,24 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """Every row of the documents with all its columns, the text without its repeated lines, and n_lines and n_removed."""
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
     lines, levels = lines_of(df), rarity_levels(df)
-    every = materialize(with_prefix(hashed(lines), levels), "lines")
+    rows = materialize(prefixes(hashed(lines), levels), "prefixes")
+    every, tokens = rows.where("token is null").drop("token"), rows.where("token is not null").select("id.a", "token")
 
-    tokens = every.select(F.col("id.a").alias("a"), F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token")
-    shared = materialize(shared, "shared")
-    some = materialize(tokens.join(shared.hint("shuffle_hash"), "token").select("a").distinct(), "some")
+    shared = materialize(tokens.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token"), "shared")
+    some = materialize(tokens.join(small_side(shared, BROADCAST_TOKENS), "token").select("a").distinct(), "some")
     first = every.join(small_side(some), F.col("id.a") == F.col("a"), "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("at"))
     ordered = materialize(first.orderBy("at", "id").select("id", "at", F.monotonically_increasing_id().alias("ord")), "ordered")
     at = ordered.select("at.key", "at.no", "ord", F.col("id").alias("own"))
-    there = hashed(lines.join(small_side(at), ["key", "no"])).where(F.col("id") == F.col("own"))
-    sets = materialize(with_sets(there.groupBy("ord").agg(F.any_value("h").alias("h")), levels), "sets")
+    there = hashed(lines.join(small_side(at), ["key", "no"])).select("ord", "h", F.coalesce(F.col("id") == F.col("own"), F.lit(False)).alias("same"))
+    sets = materialize(with_sets(there, levels), "sets").where("same").drop("same")  # tested where it is read, lest the test hash the words again
+    if sets.count() > ordered.count():  # rows that occur more than once
+        sets = materialize(sets.dropDuplicates(["ord"]), "sets")
     removed = repeats(sets).join(ordered.select("ord", "id"), "ord").select("id", F.lit(True).alias("gone"))
     forget(shared, some, sets)
 
-    copies = every.groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"), F.count("*").alias("copies"))
-    flags = copies.join(removed, "id", "left").where("copies > 1 or gone").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    again = materialize(every.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id"), "again")
+    copies = every.join(small_side(again), "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"))
+    flags = copies.join(removed, "id", "full").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     flags = materialize(flags, "flags")
     if flags.count() <= BROADCAST_ROWS:
         marked = every.select("key", "no", "id").join(F.broadcast(flags), "id")
@@ -215,7 +216,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         marked = every.select("key", "no", "id", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")).join(salted, ["id", "salt"])
     gone = marked.where(F.col("gone") | (F.struct("key", "no") != F.col("first"))).groupBy("key").agg(F.collect_set("no").alias("gone"))
     gone = materialize(gone, "gone")
-    forget(every, ordered, flags)
+    forget(rows, ordered, again, flags)
     clean_shuffles(docs.sparkSession)
     return without_lines(docs, gone, key, text)
 
