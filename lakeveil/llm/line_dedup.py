@@ -1,10 +1,10 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions alone.
 
 A line is the set of its distinct five-word shingles, its tokens. Tokens are ordered by rarity: by how often their
-first word occurs in all documents (counted by hash bucket, in powers of two), then by that word's hash, then by the
+first word occurs in all documents (counted by hash bucket, in powers of two), then by that bucket's number, then by the
 hash of all five. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1
 of the longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared
-token bound the overlap further (length and positional filters), and 128 parities of the tokens bound the difference
+token bound the overlap further (length and positional filters), and 256 parities of the tokens bound the difference
 from below; what remains is verified on the whole sets.
 
 A line is removed if an earlier one (by key, then place) matches it, whether or not that one is removed itself. One
@@ -23,7 +23,7 @@ key keep their text and take no part. Rows with one key are not told apart: equa
 count as one place and stay, others there are ordered by their hash. Other columns stay as they are, whatever their
 names. Very long lines are sets like others. An empty table gives an empty result.
 
-Lines are known by 128 bits, tokens by 63 bits (20 of the first word, 43 of all five).
+Lines are known by 128 bits, tokens by 63 bits (19 of the first word, 44 of all five).
 """
 
 from __future__ import annotations
@@ -45,29 +45,29 @@ BROADCAST_TOKENS = 2_000_000
 SAMPLES = (8, 64, 512)
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
-#: Bits of a token: above these the level of its first word, of which these are, and of all words.
-FIRST = ((1 << 57) - 1) & ~((1 << 43) - 1)
-HASH = (1 << 43) - 1
+#: Bits of a token that are of all its words; above them are the bucket of the first word and, from bit 57 on, its level.
+HASH = (1 << 44) - 1
 MOST = (1 << 63) - 1
-#: White space but the space and the line feed: of one byte, and of more.
-ASCII_SPACE = "\t\v\f\r"
-WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: White space but the space and the line feed, and what their UTF-8 forms begin with, as hexadecimal digits.
+OTHER_SPACE = r"[\t\x0B\f\r\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ASCII_MARKS, WIDE_MARKS = ("09", "0B", "0C", "0D"), ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080")
 
 
 def spaced(text: Column) -> Column:
     """The text with spaces for all white space but line feeds; places stay. Plain searches go before the pattern."""
-    any_of = lambda chars: reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in chars))
-    odd = any_of(ASCII_SPACE) | ((F.octet_length(text) > F.length(text)) & any_of(WIDE_SPACE))
-    return F.when(odd, F.regexp_replace(text, f"[{ASCII_SPACE}{WIDE_SPACE}]", " ")).otherwise(text)
+    raw = text.cast("binary")
+    any_of = lambda marks: reduce(Column.__or__, (F.contains(raw, F.lit(bytes.fromhex(m))) for m in marks))
+    odd = any_of(ASCII_MARKS) | ((F.octet_length(text) > F.length(text)) & any_of(WIDE_MARKS))
+    return F.when(odd, F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
 
 
 def rarity_levels(texts: DataFrame) -> Column:
-    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts, in its place in a token. texts: text."""
+    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts, then its number, as high bits of a token. texts: text."""
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
-    levels = [0] * BUCKETS
+    levels = [b << 44 for b in range(BUCKETS)]
     for r in counts:
-        levels[r.b] = ((r.n + 1).bit_length() - 1) << 57
+        levels[r.b] |= ((r.n + 1).bit_length() - 1) << 57
     return F.from_json(F.lit(str(levels)), "array<bigint>")
 
 
@@ -78,14 +78,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def hashed(lines: DataFrame) -> DataFrame:
     """With the hashes of the line's words (h), and of all of them (id), in place of the line."""
-    words = lines.withColumn("h", F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).drop("line")
+    gaps = F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
+    words = F.when(gaps, F.array_remove(F.split("line", " "), "")).otherwise(F.split("line", " "))
+    words = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w))).drop("line")
     return words.withColumn("id", F.struct(F.xxhash64("h").alias("a"), F.xxhash64(F.lit(1), "h").alias("b")))
 
 
 def starts(h: Column, levels: Column) -> Column:
-    """The order of a line's shingles by their first words: level and some bits of the hash, in the high bits."""
-    own = lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
-    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), lambda x: own(x).bitwiseOR(x.bitwiseAND(F.lit(FIRST))))
+    """The order of a line's shingles by their first words: level and bucket, in the high bits."""
+    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)))
 
 
 def token(start: Column, h: Column, at: Column) -> Column:
@@ -116,13 +117,17 @@ def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
 
 
 def with_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """Lines (at least WIDTH words; h) with their tokens in order, their number n, and 128 parities s0 and s1."""
-    started = lines.withColumn("start", starts(F.col("h"), levels))
+    """Lines (at least WIDTH words; h) with their tokens in order."""
     whole = F.transform("start", lambda x, i: token(x, F.col("h"), i))
-    sets = started.withColumn("tokens", F.array_distinct(F.sort_array(whole))).drop("start", "h")
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
-    parities = [F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * i), F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t))).alias(f"s{i}") for i in (0, 1)]
-    return sets.select("*", F.size("tokens").alias("n"), *parities)
+    return lines.withColumn("start", starts(F.col("h"), levels)).withColumn("tokens", F.array_distinct(F.sort_array(whole))).drop("start", "h")
+
+
+def sizes_of(sets: DataFrame) -> DataFrame:
+    """(ord, n, s0 to s3): the number of tokens of each set and 256 parities of them."""
+    each = sets.select("ord", F.explode("tokens").alias("t"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.col("t").bitwiseAND(F.lit(192))
+    return each.groupBy("ord").agg(F.count("*").cast("int").alias("n"), *(F.bit_xor(F.when(part == 64 * i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(4)))
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -134,7 +139,7 @@ def could_match(placed: bool) -> Column:
     """Length filter and parities for rows of a and b; with the places p (from 0) of a shared token, prefix and positional filters, too."""
     n, m = F.col("a.n"), F.col("b.n")
     need = least_overlap(n, m)
-    apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)))
     fits = (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (apart <= n + m - 2 * need)
     if not placed:
         return fits
@@ -159,14 +164,14 @@ def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def repeats(sets: DataFrame) -> DataFrame:
-    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens, n, s0, s1."""
-    narrow = ("ord", "n", "s0", "s1")
-    rows = sets.select(*narrow, F.posexplode(F.slice("tokens", F.lit(1), longer_prefix(F.col("n")))).alias("p", "token"))
+    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens."""
+    sizes = materialize(sizes_of(sets), "sizes")
+    rows = sets.select("ord", F.posexplode(F.slice("tokens", F.lit(1), longer_prefix(F.size("tokens")))).alias("p", "token"))
     groups = rows.groupBy("token").agg(F.min("ord").alias("first"), F.count("*").alias("many")).where("many > 1")
-    met = materialize(rows.join(groups, "token"), "met")
+    met = materialize(rows.join(groups, "token").join(small_side(sizes), "ord"), "met")
 
-    earliest = met.where("first < ord").select("ord", "first").distinct().join(sets.select(*narrow), "ord").alias("a")
-    earliest = earliest.join(sets.select(*narrow).alias("b"), F.col("a.first") == F.col("b.ord")).where(could_match(False))
+    earliest = met.where("first < ord").select("ord", "first", "n", "s0", "s1", "s2", "s3").distinct().alias("a")
+    earliest = earliest.join(sizes.alias("b"), F.col("a.first") == F.col("b.ord")).where(could_match(False))
     found = materialize(matches(earliest.select(F.col("a.ord").alias("ord"), F.col("a.first").alias("earlier")), sets), "found")
 
     share = F.pmod(F.xxhash64("ord"), F.lit(1 << 20)) * F.col("many") / F.lit(float(1 << 20))  # places a line among those of a token, at random
@@ -182,7 +187,7 @@ def repeats(sets: DataFrame) -> DataFrame:
         new = materialize(found.unionByName(matches(pairs, sets)), "found")
         forget(found)
         found, least = new, float(most or 0)
-    forget(met)
+    forget(met, sizes)
     return found
 
 
@@ -225,7 +230,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str, text: str) -> Data
     """The documents without the lines whose places are in gone (key, gone)."""
     own = [c for c in docs.columns if c != text]
     df = docs.select(F.struct(*own).alias("_row"), docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
-    df = df.join(gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")), "_key", "left")
+    df = df.join(gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")).hint("merge"), "_key", "left")
     lines = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     out = df.withColumn("_lines", F.when(F.size("_gone") > 0, lines))
