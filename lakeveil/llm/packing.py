@@ -17,6 +17,7 @@ keys too; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -29,63 +30,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import MEMO, column, materialize, per_slice, worker_memory
+from .shared import MEMO, column, materialize, per_slice, texts, worker_memory
 
 CAPACITY = 2048
 END_ID = 0
 
 
-class WordIds:
-    """Token ids (little-endian 32-bit) of texts, word by word.
+# How a tokenizer file must normalise and part texts for its words to be encoded one by one.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(tokenizer_json: str) -> bool:
+    """Whether the file lower-cases, parts texts at white space and between letters and punctuation, and then works on bytes."""
+    file = json.loads(tokenizer_json)
+    steps = (file.get("normalizer") or {}).get("normalizers") or [{}]
+    parts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        tuple(x.get("type") for x in steps) == NORMALIZERS and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0].get("pattern") == {"Regex": SPLIT} and bool(parts[0].get("invert"))
+        and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
+    )
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others are numbered from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
+
 
-    The tokenizer parts texts at white space, and between letters and punctuation, before anything else; it never
-    joins over such a place and lower-cases what it reads. So the ids of the stretches between spaces and line ends,
-    A-Z lower-cased, are the ids of the text; of a word with punctuation (no apostrophe) behind its last letter, the
-    ids of both parts. Each worker memorises them, in two generations: when the young one is full it becomes the old
-    one, and words that are met again come back. Texts that might hold a special token are encoded whole.
+class WordIds:
+    """Token ids (little-endian 32-bit) of texts (UTF-8), word by word.
+
+    A tokenizer that parts texts at white space, and between letters and punctuation, before anything else never joins
+    over such a place. So the ids of the stretches between white space, A-Z lower-cased, are the ids of the text; of a
+    word with punctuation (no apostrophe) behind its last letter, the ids of both parts. Words of lower-case Latin
+    letters alone need no normalising and go to the merges straight away, written in byte letters. Each worker
+    memorises words in two generations: when the young one is full it becomes the old one, and words that are met
+    again come back. Texts that might hold a special token, and all texts of a file that parts them otherwise, are
+    encoded whole.
     """
 
-    #: A letter of the Latin alphabets, then ASCII punctuation but the apostrophe.
-    TAIL = re.compile(r"(.*[a-z\xDF-\xF6\xF8-\xFF])([!-&(-/:-@\[-`{-~]+)", re.S)
+    #: Lower-case letters of Latin-1 in UTF-8; a word that ends in one; ASCII punctuation but the apostrophe.
+    LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+    TAIL = re.compile(rb"(.*(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF]))([!-&(-/:-@\[-`{-~]+)", re.S)
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.by_word = parts_words(tokenizer_json)
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def exact(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merged(self, word: bytes) -> bytes:
+        """Ids of a word of letters."""
+        written = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(written)]).tobytes()
+
     def learn(self, words: set[bytes]) -> None:
         """Put words into the young generation."""
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        young, old, parts, new = self.young, self.old, {}, set()
-        for w in words.difference(young):
-            if (ids := old.get(w)) is not None:
+        young, old, parts, todo = self.young, self.old, {}, set()
+        is_letters, tail = self.LETTERS.fullmatch, self.TAIL.fullmatch
+
+        def known(w: bytes) -> bool:
+            """From memory or by the merges."""
+            if w in young:
+                return True
+            if (ids := old.get(w)) is None and is_letters(w):
+                ids = self.merged(w)
+            if ids is not None:
                 young[w] = ids
-            elif m := self.TAIL.fullmatch(w.decode()):
-                parts[w] = both = m[1].encode(), m[2].encode()
-                new.update(both)
-            else:
-                new.add(w)
-        todo = []
-        for w in new.difference(young):
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-            else:
-                todo.append(w)
+            return ids is not None
+
+        for w in words.difference(young):
+            if not known(w):
+                if m := tail(w):
+                    parts[w] = both = m.groups()
+                    todo.update(x for x in both if not known(x))
+                else:
+                    todo.add(w)
         young.update(zip(todo, self.exact([w.decode() for w in todo])))
-        for w, (head, tail) in parts.items():
-            young[w] = young[head] + young[tail]
+        for w, (head, tail_) in parts.items():
+            young[w] = young[head] + young[tail_]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t else t.encode().replace(b"\n", b" ").lower().split(b" ") for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() if self.by_word and b"<|" not in t else None for t in texts]
         self.learn(set().union(*filter(None, split)))
         get = self.young.__getitem__
-        return [self.exact([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        return [self.exact([t.decode()])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
 def tokenize(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -104,7 +144,7 @@ def tokenize(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {k: [] for k in ("piece", "start", "length", "ids_crc32", "task", "task_rank")}
             at, parts = [], []
-            for i, ids in enumerate(memory["word_ids"].encode([t or "" for t in column(batch, "text").to_pylist()])):
+            for i, ids in enumerate(memory["word_ids"].encode(texts(batch))):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]

@@ -65,6 +65,20 @@ def test_ids_on_request_and_small_capacity(spark, tokenizer_json):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed)
 
 
+def test_words_of_letters_and_other_files(tokenizer_json):
+    import json
+
+    rng = random.Random(4)
+    alphabet = "abcdefgxyzéßñüöäàçœÿ÷×ABCÉ'’-.,;!?(){}<|>0123 \t\n\x0b\x1c\u00a0\u2003e\u0301中ﬁİ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["straße über, naïve; don't l'été x÷y a.b.c."]
+    other = json.loads(tokenizer_json)
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]  # keeps capitals
+    for file in (tokenizer_json, json.dumps(other)):
+        ids = packing.WordIds(file)
+        assert ids.by_word == (file == tokenizer_json)
+        assert ids.encode([t.encode() for t in texts]) == ids.exact(texts)
+
+
 def test_no_documents(spark, tokenizer_json):
     assert packing.pack(cases.documents(spark, []), tokenizer_json).collect() == []
 
