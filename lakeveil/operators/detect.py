@@ -20,8 +20,10 @@ from ..functions.text import clean_form, matches, strip
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{6,}[0-9]"
-CARD = r"[0-9]{13,}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+#: Digits running on, in groups of four, or in groups of four, six and five; groups parted by spaces or hyphens.
+CARD = r"[0-9]{13,}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}"
+#: Written in one piece, or in groups of four and a rest.
+IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
 CRYPTO = r"bc1[02-9ac-hj-np-z]{11,71}|[13][1-9A-HJ-NP-Za-km-z]{25,34}"
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -64,11 +66,12 @@ def phones(pages: DataFrame) -> DataFrame:
 
 
 def cards(pages: DataFrame) -> DataFrame:
-    return found(pages, CARD, "CREDIT_CARD", valid=lambda v: (F.length(v) <= 19) & F.call_function("luhn_check", v))
+    return found(pages, CARD, "CREDIT_CARD", valid=lambda v: F.length(digits(v)).between(13, 19) & F.call_function("luhn_check", digits(v)))
 
 
 def ibans(pages: DataFrame) -> DataFrame:
-    return found(pages, IBAN, "IBAN_CODE", valid=lambda v: mod_97(v) == 1)
+    compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
+    return found(pages, IBAN, "IBAN_CODE", valid=lambda v: F.length(compact(v)).between(15, 34) & (mod_97(compact(v)) == 1))
 
 
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -107,15 +110,17 @@ def crypto(pages: DataFrame) -> DataFrame:
 
 
 def lexicon(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """Names and places by whole words of a lexicon (term, entity_type), of one word each, case as written.
+    """Names and places of a lexicon (term, entity_type), of one or more words, as whole words, case as written.
 
-    The distinct words of a page meet the lexicon's terms in an equi join, whatever its size; only terms that occur
-    are then looked up in the page's text.
+    The distinct words of a page meet the first words of the terms in an equi join, whatever the lexicon's size; only
+    terms whose first word occurs are then looked up in the page's text. A term without a word matches nothing.
     """
-    words = pages.select("container", "page_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("value"))
-    there = words.join(names.select(F.col("term").alias("value"), "entity_type"), "value").where(F.length("value") >= SHORTEST_TERM)
-    pattern = F.concat(F.lit(f"(?<!{WORD[:-1]})"), "value", F.lit(f"(?!{WORD[:-1]})"))
-    hits = pages.join(there, ["container", "page_no"]).select("container", "page_no", "entity_type", "value", F.explode(matches(F.col("text"), pattern)).alias("hit"))
+    words = pages.select("container", "page_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
+    terms = names.select(F.regexp_extract("term", WORD, 0).alias("word"), F.col("term").alias("value"), "entity_type").where("word <> ''")
+    there = words.join(terms, "word").where(F.length("value") >= SHORTEST_TERM).drop("word")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("value", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(f"(?<!{WORD[:-1]})"), quoted, F.lit(f"(?!{WORD[:-1]})"))
+    hits = pages.join(there, ["container", "page_no"]).where(F.contains("text", "value")).select("container", "page_no", "entity_type", "value", F.explode(matches(F.col("text"), pattern)).alias("hit"))
     return hits.select("container", "page_no", "entity_type", "value", F.col("hit.start").cast("bigint").alias("start"), F.col("hit.end").cast("bigint").alias("end"))
 
 

@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from ..fixed import MODES
 from .spans import PAGE
 
+#: An invisible separator, put between a placeholder and a letter, digit, low line or placeholder beside it.
+SEPARATOR = "\u2063"
+#: Letters, digits and the low line.
+WORD = r"[\p{L}\p{N}_]"
 
-def rebuild(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pages with their spans (container, page_no, start, end, replacement; disjoint) replaced. Pages without any keep their text."""
+
+def rebuild(pages: DataFrame, spans: DataFrame, apart: bool = False) -> DataFrame:
+    """Pages with their spans (container, page_no, start, end, replacement; disjoint) replaced. Pages without any keep their text.
+
+    apart: a separator keeps replacements from letters, digits and other replacements beside them.
+    """
     own = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("spans"))
     both = pages.select(*PAGE, "text").join(own, list(PAGE), "left")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["end"]))
 
     def piece(s: Column, i: Column) -> Column:
         at = F.get(F.col("ends"), i)
-        return F.concat(F.substring(F.col("text"), at.cast("int") + 1, F.greatest(s["start"] - at, F.lit(0)).cast("int")), s["replacement"])
+        gap = F.substring(F.col("text"), at.cast("int") + 1, F.greatest(s["start"] - at, F.lit(0)).cast("int"))
+        if not apart:
+            return F.concat(gap, s["replacement"])
+        mark = lambda c: F.when(c, F.lit(SEPARATOR)).otherwise(F.lit(""))
+        before = mark(((i > 0) & (s["start"] == at)) | gap.rlike(f"{WORD}\\z"))
+        return F.concat(gap, before, s["replacement"], mark(F.substring(F.col("text"), s["end"].cast("int") + 1, F.lit(1)).rlike(WORD)))
 
     tail = F.substring(F.col("text"), F.element_at("ends", -1).cast("int") + 1, F.length("text"))
     whole = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
@@ -43,8 +56,8 @@ def anonymize(pages: DataFrame, spans: DataFrame, mask: str = "") -> DataFrame:
 
 
 def pseudonymize(pages: DataFrame, named: DataFrame) -> DataFrame:
-    """Spans (disjoint, with placeholder) replaced by their placeholders."""
-    return rebuild(pages, named.withColumn("replacement", F.col("placeholder")))
+    """Spans (disjoint, with placeholder) replaced by their placeholders, which stay apart from what is beside them."""
+    return rebuild(pages, named.withColumn("replacement", F.col("placeholder")), apart=True)
 
 
 def export(mode: str, pages: DataFrame, spans: DataFrame) -> DataFrame:
@@ -54,15 +67,17 @@ def export(mode: str, pages: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def restore(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """Placeholders back to originals, as whole tokens: a token is a run of capitals, digits and low lines.
+    """Placeholders back to originals, as whole tokens: a run of capitals, digits and low lines, and separators around it.
 
-    Each container's registry is joined by token, so the registry's size doesn't matter.
+    Each container's registry is joined by token, so the registry's size doesn't matter. Values that a registry holds
+    as one, such as two spellings, come back in its spelling.
     """
-    token = "[A-Z][A-Z0-9_]*_[0-9]{3,}"
+    token = f"{SEPARATOR}?(?<!{WORD})[A-Z][A-Z0-9_]*_[0-9]{{3,}}(?!{WORD}){SEPARATOR}?"
     gaps, tokens = F.split("text", token, -1), F.regexp_extract_all("text", F.lit(token), F.lit(0))
-    parts = pages.where(F.col("text").rlike(token)).select(*PAGE, gaps.alias("gaps"), F.posexplode(tokens).alias("i", "placeholder"))
+    parts = pages.where(F.col("text").rlike(token)).select(*PAGE, gaps.alias("gaps"), F.posexplode(tokens).alias("i", "written"))
+    parts = parts.withColumn("placeholder", F.replace("written", F.lit(SEPARATOR), F.lit("")))
     back = parts.join(registry.select("container", "placeholder", "original"), ["container", "placeholder"], "left")
-    piece = F.struct("i", F.concat(F.get("gaps", F.col("i")), F.coalesce("original", "placeholder")).alias("text"))
+    piece = F.struct("i", F.concat(F.get("gaps", F.col("i")), F.coalesce("original", "written")).alias("text"))
     whole = back.groupBy(*PAGE).agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.first(F.element_at("gaps", -1)).alias("tail"))
     done = whole.select(*PAGE, F.concat(F.array_join(F.col("pieces.text"), ""), "tail").alias("restored"))
     return pages.join(done, list(PAGE), "left").select(*PAGE, F.coalesce("restored", "text").alias("text"))

@@ -20,11 +20,12 @@ EXISTING, IMAGE, BLOCK, DETECTION = range(4)
 PAGE = ("container", "page_no")
 
 
-def occurrences(pages: DataFrame, terms: DataFrame, on_page: bool = False, whole_word: bool = False) -> DataFrame:
+def occurrences(pages: DataFrame, terms: DataFrame, on_page: bool = False, whole_word: bool = False, as_written: bool = False) -> DataFrame:
     """Every place where a term occurs in a page's text, in either case. terms: term and columns that go along.
 
     on_page: terms have the container and page that they are looked for on, and are joined by it. Otherwise a
     dictionary meets all pages: it is broadcast in blocks of about TERMS terms, one block if it is no larger.
+    as_written: the term is given as the page spells it.
     """
     pages = pages.select(*PAGE, "text")
     if on_page:
@@ -36,6 +37,7 @@ def occurrences(pages: DataFrame, terms: DataFrame, on_page: bool = False, whole
     pattern = F.concat(F.lit(r"\b"), literal(F.col("term")), F.lit(r"\b")) if whole_word else literal(F.col("term"))
     own = [c for c in terms.columns if c not in PAGE]
     hits = both.select(*PAGE, *own, F.explode(matches(F.col("text"), pattern)).alias("hit"))
+    hits = hits.withColumn("term", F.col("hit.text")) if as_written else hits
     return hits.select(*PAGE, *own, F.col("hit.start").cast("bigint").alias("start"), F.col("hit.end").cast("bigint").alias("end"))
 
 

@@ -6,8 +6,8 @@ S = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 P = r"[!-/:-@\[-\x60{-~]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{6,}[0-9]"
-CARD = r"[0-9]{13,}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+CARD = r"[0-9]{13,}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}"
+IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
 
 
 def strip(x: str, chars: str = S) -> str:
@@ -42,15 +42,16 @@ def hits(name: str, pattern: str, source: str = "p", extra: str = "") -> str:
   CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda g: length(g))) AS BIGINT) AS stop FROM {name}_i)"""
 
 
-LUHN = """(list_sum(list_transform(range(1, length(value) + 1), lambda i: CASE WHEN (length(value) - i) % 2 = 0 THEN CAST(value[i] AS INTEGER)
-  WHEN CAST(value[i] AS INTEGER) > 4 THEN 2 * CAST(value[i] AS INTEGER) - 9 ELSE 2 * CAST(value[i] AS INTEGER) END)) % 10 = 0)"""
+D = "regexp_replace(value, '[^0-9]', '', 'g')"
+LUHN = f"""(list_sum(list_transform(range(1, length({D}) + 1), lambda i: CASE WHEN (length({D}) - i) % 2 = 0 THEN CAST({D}[i] AS INTEGER)
+  WHEN CAST({D}[i] AS INTEGER) > 4 THEN 2 * CAST({D}[i] AS INTEGER) - 9 ELSE 2 * CAST({D}[i] AS INTEGER) END)) % 10 = 0)"""
 DETECT = f"""{PAGES},
 {hits("e", f"'{EMAIL}'")},
 {hits("c", f"'{CARD}'")},
 {hits("t", f"'{PHONE}'")},
 found AS (
   SELECT container, page_no, 'EMAIL_ADDRESS' AS entity_type, value, start, stop FROM e
-  UNION ALL SELECT container, page_no, 'CREDIT_CARD', value, start, stop FROM c WHERE length(value) <= 19 AND {LUHN}
+  UNION ALL SELECT container, page_no, 'CREDIT_CARD', value, start, stop FROM c WHERE length({D}) BETWEEN 13 AND 19 AND {LUHN}
   UNION ALL SELECT container, page_no, 'PHONE_NUMBER', value, start, stop FROM t WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 7 AND 15
 )"""
 #: Folds of a page's candidates in order: each list element is a list, so that the fold's state is one, too.
@@ -66,18 +67,6 @@ kept AS (SELECT container, page_no, unnest(list_reduce(every, lambda acc, x: CAS
 res AS (SELECT container, page_no, k.priority AS priority, k.term AS term, k.entity_type AS entity_type, k.start AS start, k.stop AS stop FROM kept)"""
 
 
-CANDIDATES = f"""{DETECT},
-cand AS (SELECT container, page_no, CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 10 WHEN 'CREDIT_CARD' THEN 11 ELSE 12 END AS priority, value AS term, start, stop, entity_type FROM found)"""
-DISJOINT = f"{CANDIDATES},\n{resolved(True)}"
-FOLD = f"lower(replace({collapse('term')}, 'ß', 'ss'))"
-REGISTRY = f"""{DISJOINT},
-firsts AS (
-  SELECT container, entity_type, {FOLD} AS key, min((page_no, start)) AS place, arg_min(term, (page_no, start, term)) AS original FROM res GROUP BY container, entity_type, {FOLD}
-), registry AS (
-  SELECT container, entity_type, key, printf('%s_%03d', entity_type, row_number() OVER (PARTITION BY container, entity_type ORDER BY place, key)) AS placeholder, original, place[1] AS page_no FROM firsts
-)"""
-
-
 def values(words) -> str:
     return ", ".join(f"('{w}')" for w in words)
 
@@ -99,37 +88,69 @@ def occurrences(name: str, source: str, extra: str = "") -> str:
 {name} AS (SELECT container, page_no, term{extra}, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * length(term) AS BIGINT) AS start, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + i * length(term) AS BIGINT) AS stop FROM {name}_n)"""
 
 
-BOXES = """li AS (SELECT *, least(l_quantity, l_quantity + l_partkey % 17) AS x0, greatest(l_quantity, l_quantity + l_partkey % 17) AS x1, CAST(l_linenumber AS DOUBLE) AS y0, CAST(l_linenumber AS DOUBLE) * 3 AS y1 FROM lineitem)"""
-LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
 NAMES = "names(term, entity_type) AS (VALUES ('Theaea', 'PERSON'), ('Onthan', 'PERSON'), ('Zu', 'LOCATION'), ('Heitü', 'LOCATION'), ('Éréier', 'PERSON'))"
 WORDS = hits("w", r"'[\p{L}\p{N}_]+'")
-IBAN_ROWS = "SELECT * FROM p UNION ALL VALUES ('x', 1, 'pay DE89370400440532013000 now'), ('x', 2, 'bad DE89370400440532013001'), ('y', 3, 'GB82WEST12345698765432, FR1420041010050500013M02606.')"
+IBAN_VALID = """list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(value, ' ', ''), 5) || substr(replace(value, ' ', ''), 1, 4), ''),
+  lambda c: CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INTEGER))), lambda a, c: (a * 10 + c) % 97) = 1 AND length(replace(value, ' ', '')) BETWEEN 15 AND 34"""
+#: All classes but addresses with a checksum, which SQL can't decode: the driver's tables hold no valid one.
+EVERY = f"""{DETECT},
+{hits("ib", f"'{IBAN}'")},
+{NAMES}, {WORDS},
+every AS (SELECT * FROM found UNION ALL SELECT container, page_no, 'IBAN_CODE', value, start, stop FROM ib WHERE {IBAN_VALID}
+  UNION ALL SELECT container, page_no, entity_type, value, start, stop FROM w JOIN names ON term = value WHERE length(value) > 2)"""
+PRIORITY = "CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 10 WHEN 'CREDIT_CARD' THEN 11 WHEN 'IBAN_CODE' THEN 12 WHEN 'PHONE_NUMBER' THEN 14 WHEN 'PERSON' THEN 15 ELSE 16 END"
+CANDIDATES = f"""{EVERY},
+{occurs("blk", BLOCK)},
+cand AS (
+  SELECT container, page_no, {PRIORITY} AS priority, value AS term, start, stop, entity_type FROM every
+  UNION ALL SELECT blk.container, blk.page_no, 2, substr(p.text, start + 1, stop - start), start, stop, 'DATA' FROM blk JOIN p USING (container, page_no)
+)"""
+DISJOINT = f"{CANDIDATES},\n{resolved(True)}"
+FOLD = f"lower(replace({collapse('term')}, 'ß', 'ss'))"
+REGISTRY = f"""{DISJOINT},
+firsts AS (
+  SELECT container, entity_type, {FOLD} AS key, min((page_no, start)) AS place, arg_min(term, (page_no, start, term)) AS original FROM res GROUP BY container, entity_type, {FOLD}
+), registry AS (
+  SELECT container, entity_type, key, printf('%s_%03d', entity_type, row_number() OVER (PARTITION BY container, entity_type ORDER BY place, key)) AS placeholder, original, place[1] AS page_no FROM firsts
+)"""
+
+
+BOXES = """li AS (SELECT *, least(l_quantity, l_quantity + l_partkey % 17) AS x0, greatest(l_quantity, l_quantity + l_partkey % 17) AS x1, CAST(l_linenumber AS DOUBLE) AS y0, CAST(l_linenumber AS DOUBLE) * 3 AS y1 FROM lineitem)"""
+LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+IBAN_ROWS = "SELECT * FROM p UNION ALL VALUES ('x', 1, 'pay DE89370400440532013000 now'), ('x', 2, 'bad DE89370400440532013001'), ('y', 3, 'GB82WEST12345698765432, FR1420041010050500013M02606.'), ('y', 4, 'in groups DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32')"
 HTML = "h AS (SELECT CAST(page_id AS VARCHAR) AS container, CAST(0 AS BIGINT) AS page_no, html AS text FROM pages)"
 MARKS = "m AS (SELECT p.*, a AS start, b AS stop FROM p, (VALUES (CAST(0 AS BIGINT), CAST(9 AS BIGINT)), (20, 44), (100000000, 100000009)) v(a, b))"
-VALUES_OF = "vals AS (SELECT DISTINCT f.container, f.page_no, f.value AS term, f.entity_type, p.text FROM found f JOIN p USING (container, page_no) WHERE entity_type <> 'PHONE_NUMBER')"
-PLAN = f"""{DETECT},
+VALUES_OF = "vals AS (SELECT DISTINCT f.container, f.page_no, f.value AS term, f.entity_type, p.text FROM every f JOIN p USING (container, page_no))"
+PLAN = f"""{EVERY},
 {VALUES_OF},
 {occurs("blk", BLOCK)},
 {occurrences("det", "vals", ", entity_type")},
 {occurs("safe", values(("mail5.example.com",)))},
 cand AS (
-  SELECT container, page_no, 2 AS priority, term, start, stop, 'DATA' AS entity_type FROM blk
+  SELECT blk.container, blk.page_no, 2 AS priority, substr(p.text, start + 1, stop - start) AS term, start, stop, 'DATA' AS entity_type FROM blk JOIN p USING (container, page_no)
   UNION ALL SELECT container, page_no, 3, term, start, stop, entity_type FROM det WHERE NOT EXISTS (SELECT 1 FROM safe s WHERE s.container = det.container AND s.page_no = det.page_no AND s.start < det.stop AND det.start < s.stop)
 ),
 {resolved(False)}"""
-REBUILT = """pieces AS (
-  SELECT s.container, s.page_no, p.text, s.start, s.stop, s.replacement, lag(s.stop, 1, 0) OVER (PARTITION BY s.container, s.page_no ORDER BY s.start, s.stop) AS was FROM s JOIN p USING (container, page_no)
-) SELECT container, page_no, string_agg(substr(text, was + 1, greatest(start - was, 0)) || replacement, '' ORDER BY start, stop) || substr(any_value(text), max(stop) + 1) AS text FROM pieces GROUP BY container, page_no"""
+def rebuilt(apart: bool = False) -> str:
+    """Pages with the spans of s replaced, and pages without any; apart: a separator beside letters, digits and other replacements."""
+    word = "'[\\p{L}\\p{N}_]'"
+    sides = (f"CASE WHEN (was = start AND k > 1) OR regexp_matches(substr(text, CAST(start AS BIGINT), 1), {word}) AND start > was THEN chr(8291) ELSE '' END", f"CASE WHEN regexp_matches(substr(text, stop + 1, 1), {word}) THEN chr(8291) ELSE '' END") if apart else ("''", "''")
+    return f"""pieces AS (
+  SELECT s.container, s.page_no, p.text, s.start, s.stop, s.replacement, lag(s.stop, 1, 0) OVER (PARTITION BY s.container, s.page_no ORDER BY s.start, s.stop) AS was, row_number() OVER (PARTITION BY s.container, s.page_no ORDER BY s.start, s.stop) AS k FROM s JOIN p USING (container, page_no)
+), done AS (SELECT container, page_no, string_agg(substr(text, was + 1, greatest(start - was, 0)) || {sides[0]} || replacement || {sides[1]}, '' ORDER BY start, stop) || substr(any_value(text), max(stop) + 1) AS text FROM pieces GROUP BY container, page_no),
+whole AS (SELECT p.container, p.page_no, coalesce(done.text, p.text) AS text, p.text AS was FROM p LEFT JOIN done USING (container, page_no))"""
+
+
 ENTITY = "trim(regexp_replace(upper(coalesce(raw, '')), '[^A-Z0-9_]+', '_', 'g'), '_')"
 CLEAN_FOUND = f"f AS (SELECT *, {clean('value')} AS clean FROM found)"
 
 ORACLES: dict[str, str] = {
-    "export_pseudonymize": f"WITH {REGISTRY}, s AS (SELECT r.container, r.page_no, r.start, r.stop, g.placeholder AS replacement FROM res r JOIN registry g ON g.container = r.container AND g.entity_type = r.entity_type AND g.key = {FOLD}),\n{REBUILT}",
-    "export_anonymize": f"""WITH {DETECT},
-      o AS (SELECT container, page_no, start, stop, max(stop) OVER (PARTITION BY container, page_no ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found),
+    "export_pseudonymize": f"WITH {REGISTRY}, s AS (SELECT r.container, r.page_no, r.start, r.stop, g.placeholder AS replacement FROM res r JOIN registry g ON g.container = r.container AND g.entity_type = r.entity_type AND g.key = {FOLD}),\n{rebuilt(True)} SELECT container, page_no, text FROM whole",
+    "export_anonymize": f"""WITH {CANDIDATES},
+      o AS (SELECT container, page_no, start, stop, max(stop) OVER (PARTITION BY container, page_no ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cand),
       g AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY container, page_no ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o),
-      s AS (SELECT container, page_no, min(start) AS start, max(stop) AS stop, '' AS replacement FROM g GROUP BY container, page_no, island),\n{REBUILT}""",
-    "restore_roundtrip": f"WITH {DISJOINT} SELECT DISTINCT container, page_no, true AS same FROM res",
+      s AS (SELECT container, page_no, min(start) AS start, max(stop) AS stop, '' AS replacement FROM g GROUP BY container, page_no, island),\n{rebuilt()} SELECT container, page_no, text FROM whole""",
+    "restore_roundtrip": f"WITH {REGISTRY}, s AS (SELECT r.container, r.page_no, r.start, r.stop, g.original AS replacement FROM res r JOIN registry g ON g.container = r.container AND g.entity_type = r.entity_type AND g.key = {FOLD}),\n{rebuilt()} SELECT container, page_no, text = was AS same FROM whole",
     "src_accept": """SELECT page_id, path, CASE WHEN path = '' THEN 'empty' WHEN NOT ends_with(lower(path), '.pdf') THEN 'not a pdf' END AS refused
       FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 3 = 0 THEN split_part(split_part(url, '?', 1), '#', 1) || '.PDF' ELSE url END AS path FROM pages)""",
     "page_scan": "SELECT source AS container, count(*) AS n_pages, min(doc_id) AS first_page, max(doc_id) AS last_page, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source",
@@ -161,12 +182,10 @@ ORACLES: dict[str, str] = {
     "detect_email": f"WITH {DETECT} SELECT * FROM found WHERE entity_type = 'EMAIL_ADDRESS'",
     "detect_phone": f"WITH {DETECT} SELECT * FROM found WHERE entity_type = 'PHONE_NUMBER'",
     "detect_card": f"WITH {DETECT} SELECT * FROM found WHERE entity_type = 'CREDIT_CARD'",
-    "detect_iban": f"""WITH {PAGES}, q AS ({IBAN_ROWS}), r(container, page_no, text) AS (SELECT * FROM q), {hits("b", f"'{IBAN}'", "r")},
-      n AS (SELECT *, array_to_string(list_transform(string_split(substr(value, 5) || substr(value, 1, 4), ''), lambda c: CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS digits FROM b)
-      SELECT container, page_no, 'IBAN_CODE' AS entity_type, value, start, stop FROM n WHERE list_reduce(list_prepend(0, list_transform(string_split(digits, ''), lambda c: CAST(c AS INTEGER))), lambda a, c: (a * 10 + c) % 97) = 1""",
+    "detect_iban": f"""WITH {PAGES}, q AS ({IBAN_ROWS}), r(container, page_no, text) AS (SELECT * FROM q), {hits("b", f"'{IBAN}'", "r")}
+      SELECT container, page_no, 'IBAN_CODE' AS entity_type, value, start, stop FROM b WHERE {IBAN_VALID}""",
     "detect_lexicon": f"WITH {PAGES}, {NAMES}, {WORDS} SELECT container, page_no, entity_type, value, start, stop FROM w JOIN names ON term = value WHERE length(value) > 2",
-    "detect_all": f"""WITH {DETECT}, {NAMES}, {WORDS}, every AS (SELECT container, entity_type, value FROM found UNION ALL SELECT container, entity_type, value FROM w JOIN names ON term = value WHERE length(value) > 2)
-      SELECT container, entity_type, count(*) AS n, count(DISTINCT value) AS n_values FROM every GROUP BY container, entity_type""",
+    "detect_all": f"WITH {EVERY} SELECT container, entity_type, count(*) AS n, count(DISTINCT value) AS n_values FROM every GROUP BY container, entity_type",
     "detect_dedup": f"""WITH {DETECT}, o AS (SELECT *, start * 4 + CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 0 WHEN 'CREDIT_CARD' THEN 1 ELSE 2 END AS seq FROM found)
       SELECT container, page_no, value, min(seq) AS seq, arg_max(entity_type, seq) AS entity_type FROM o GROUP BY container, page_no, value""",
     "infer_type": f"WITH {LINES} SELECT doc_id, line_no, {typed('line')} AS entity_type FROM lines",
@@ -175,14 +194,14 @@ ORACLES: dict[str, str] = {
     "allow_fuzzy": f"""WITH {DETECT}, {CLEAN_FOUND}, a(term) AS (VALUES {values(("example.com", "555-1055", "be thin", "clown", "license"))})
       SELECT container, page_no, value, start, stop FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE regexp_matches(f.clean, '(?:^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(term) || '(?:[^\\p{{L}}\\p{{N}}_]|\\z)') OR regexp_matches(term, '(?:^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(f.clean) || '(?:[^\\p{{L}}\\p{{N}}_]|\\z)'))""",
     "block_occurrences": f"WITH {PAGES}, {occurs('o', BLOCK)} SELECT * FROM o",
-    "detect_occurrences": f"WITH {DETECT}, {VALUES_OF}, {occurrences('o', 'vals', ', entity_type')} SELECT * FROM o",
+    "detect_occurrences": f"WITH {EVERY}, {VALUES_OF}, {occurrences('o', 'vals', ', entity_type')} SELECT * FROM o",
     "allow_protect": f"WITH {DETECT}, {occurs('o', values(('example.com', '555-1')))} SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.container = f.container AND o.page_no = f.page_no AND o.start < f.stop AND f.start < o.stop)",
-    "candidate_union": f"WITH {CANDIDATES}, {occurs('o', BLOCK)} SELECT priority, entity_type, count(*) AS n FROM (SELECT priority, entity_type FROM cand UNION ALL SELECT 2, 'DATA' FROM o) GROUP BY priority, entity_type",
+    "candidate_union": f"WITH {CANDIDATES} SELECT priority, entity_type, count(*) AS n FROM cand GROUP BY priority, entity_type",
     "resolve_spans": f"WITH {CANDIDATES}, {resolved(False)} SELECT container, page_no, entity_type, term AS value, start, stop FROM res",
     "resolve_disjoint": f"WITH {DISJOINT} SELECT container, page_no, entity_type, term AS value, start, stop FROM res",
     "link_removal": f"""WITH {HTML}, {hits("l", "'<a\\b[^>]*>[^<]*</a>'", "h")}, {occurs("o", values(("nicht", "thedanon", "the")), "h")}
       SELECT container, page_no, value AS link, start, stop FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.container = l.container AND o.start < l.stop AND l.start < o.stop)""",
-    "hit_test": f"WITH {DETECT} SELECT * FROM found WHERE (start <= 4000 AND (start + 24) // 25 * 25 < stop AND (start + 24) // 25 * 25 <= 4000)",
+    "hit_test": f"WITH {DETECT}, points AS (SELECT DISTINCT container, page_no, (start + stop) // 2 AS x FROM found) SELECT * FROM found f WHERE EXISTS (SELECT 1 FROM points WHERE points.container = f.container AND points.page_no = f.page_no AND f.start <= x AND x < f.stop)",
     "dict_block_upsert": f"SELECT DISTINCT term, 'block' AS kind FROM (VALUES {BLOCK}, ('be thin'), ('new term')) v(term) UNION ALL SELECT term, 'allow' FROM (VALUES ('example.com'), ('555-1055'), ('clown'), ('license')) v(term)",
     "dict_allow_upsert": "SELECT DISTINCT term, 'allow' AS kind FROM (VALUES ('example.com'), ('555-1055'), ('be thin'), ('clown'), ('license'), ('other')) v(term) UNION ALL SELECT term, 'block' FROM (VALUES ('idiot'), ('pathetic'), ('worthless'), ('license')) v(term)",
     "dict_conflicts": "SELECT term FROM (VALUES ('clown'), ('license')) v(term)",

@@ -51,7 +51,7 @@ def candidates(p: DataFrame) -> DataFrame:
 
 def blocked(p: DataFrame) -> DataFrame:
     """Candidates by the block dictionary."""
-    found = spans.occurrences(p, terms(p.sparkSession, BLOCK_TERMS)).withColumns({"priority": F.lit(spans.BLOCK), "entity_type": text.infer_type(F.col("term"))})
+    found = spans.occurrences(p, terms(p.sparkSession, BLOCK_TERMS), as_written=True).withColumns({"priority": F.lit(spans.BLOCK), "entity_type": text.infer_type(F.col("term"))})
     return found.select("container", "page_no", "priority", "term", "start", "end", "entity_type")
 
 
@@ -197,7 +197,7 @@ def detect_card(spark, d):
 
 
 def detect_iban(spark, d):
-    rows = [("x", 1, "pay DE89370400440532013000 now"), ("x", 2, "bad DE89370400440532013001"), ("y", 3, "GB82WEST12345698765432, FR1420041010050500013M02606.")]
+    rows = [("x", 1, "pay DE89370400440532013000 now"), ("x", 2, "bad DE89370400440532013001"), ("y", 3, "GB82WEST12345698765432, FR1420041010050500013M02606."), ("y", 4, "in groups DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32")]
     return end_named(detect.ibans(document_pages(spark, d).unionByName(inline(spark, rows, pages.PAGES))))
 
 
@@ -344,7 +344,7 @@ def restore_roundtrip(spark, d):
     names = registry.assign(found)
     hidden = export.pseudonymize(p, registry.lookup(found, names))
     back = export.restore(hidden, names)
-    return back.join(p.select("container", "page_no", F.col("text").alias("was")), ["container", "page_no"]).select("container", "page_no", (F.lower("text") == F.lower("was")).alias("same"))
+    return back.join(p.select("container", "page_no", F.col("text").alias("was")), ["container", "page_no"]).select("container", "page_no", (F.col("text") == F.col("was")).alias("same"))
 
 
 def metadata_scrub(spark, d):
@@ -364,7 +364,8 @@ def image_mask(spark, d):
 def leak_check(spark, d):
     p = document_pages(spark, d)
     needles = detect.emails(p).select("container", F.col("value").alias("needle")).distinct()
-    return verify.leak_check(p, p.select("container", F.col("container").alias("value")).distinct(), needles)
+    files = p.select("container", F.encode("text", "UTF-8").alias("content"))
+    return verify.leak_check(p, p.select("container", F.col("container").alias("value")).distinct(), needles, files)
 
 
 def leftovers(spark, d):

@@ -145,7 +145,7 @@ def test_leak_check_is_not_secure_when_it_could_not_read(spark):
     p = spark.createDataFrame([("a", 1, "x SECRET"), ("a", 2, "secret"), ("b", 1, None), ("c", 1, "fine")], pages.PAGES)
     needles = spark.createDataFrame([(c, "Secret") for c in "abc"], "container string, needle string")
     meta = spark.createDataFrame([("a", "my secret"), ("c", None)], "container string, value string")
-    got = {r.container: (r.n_metadata, r.n_pages, r.raw_hit, r.alerts, r.verdict) for r in verify.leak_check(p, meta, needles).collect()}
+    got = {r.container: (r.n_metadata, r.n_pages, r.raw_hit, r.alerts, r.verdict) for r in verify.leak_check(p, meta, needles, p.select("container", F.encode("text", "UTF-8").alias("content"))).collect()}
     assert got == {"a": (1, 2, 1, 4, "VULNERABLE"), "b": (0, 0, 0, 0, "INCONCLUSIVE"), "c": (0, 0, 0, 0, "SECURE")}
 
 
@@ -219,3 +219,33 @@ def test_hits_lie_anywhere_on_a_page(spark, tmp_path):
     rows = [(0, " " * 9001 + "a@b.org", "s"), (1, " a@b.org", "s"), (2, "none", "s")]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.page_no, r.start) for r in queries.hit_test(spark, str(tmp_path)).collect()) == [(0, 9001), (1, 1)]
+
+
+def test_printed_forms_and_names_of_two_words(spark):
+    text = "card 4111 1111 1111 1111 or 4111-1111-1111-1111, iban DE89 3704 0044 0532 0130 00 by Mario Rossi, not Mario Rossini; 3782 822463 10005 and 4111 1111 1111 1112"
+    p = spark.createDataFrame([("a", 1, text), ("a", 2, None), ("a", 3, "")], pages.PAGES)
+    names = spark.createDataFrame([("Mario Rossi", "PERSON"), ("L'Aquila", "LOCATION"), ("--- ", "PERSON")], "term string, entity_type string")
+    got = sorted((r.start, r.entity_type, r.value, r.end) for r in detect.detect(p, names=names).collect() if r.entity_type != "PHONE_NUMBER")
+    assert [(t, v) for _, t, v, _ in got] == [("CREDIT_CARD", "4111 1111 1111 1111"), ("CREDIT_CARD", "4111-1111-1111-1111"), ("IBAN_CODE", "DE89 3704 0044 0532 0130 00"), ("PERSON", "Mario Rossi"), ("CREDIT_CARD", "3782 822463 10005")]
+    assert all(text[a:b] == v for a, _, v, b in got)
+    hidden = export.anonymize(p, detect.detect(p, names=names)).where("page_no = 1").first().text
+    assert not any(v in hidden for _, t, v, _ in got if t != "PERSON") and "by , not Mario Rossini" in hidden
+
+
+def test_restoring_beside_letters_digits_and_other_values(spark):
+    texts = ["TEL5551234567", "a@b.com123", "x a@b.com5551234567 y", "a@b.com", "", "no value"]
+    p = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], pages.PAGES)
+    rows = [(0, "PHONE_NUMBER", "5551234567", 3, 13), (1, "EMAIL_ADDRESS", "a@b.com", 0, 7), (2, "EMAIL_ADDRESS", "a@b.com", 2, 9), (2, "PHONE_NUMBER", "5551234567", 9, 19), (3, "EMAIL_ADDRESS", "a@b.com", 0, 7)]
+    found = spark.createDataFrame([("c", *r) for r in rows], "container string, page_no bigint, entity_type string, value string, start bigint, end bigint")
+    names = registry.assign(found)
+    hidden = export.pseudonymize(p, registry.lookup(found, names))
+    assert [r.text for r in hidden.orderBy("page_no").collect()][3:] == ["EMAIL_ADDRESS_001", "", "no value"]
+    assert [r.text for r in export.restore(hidden, names).orderBy("page_no").collect()] == texts
+
+
+def test_blank_needles_are_none(spark):
+    p = spark.createDataFrame([("a", 1, "x")], pages.PAGES)
+    meta = spark.createDataFrame([("a", "y")], "container string, value string")
+    needles = spark.createDataFrame([("a", ""), ("a", " "), ("a", None), ("a", "z")], "container string, needle string")
+    files = spark.createDataFrame([("a", bytearray(b"\x00Zz"))], "container string, content binary")
+    assert [tuple(r) for r in verify.leak_check(p, meta, needles, files).collect()] == [("a", "z", 0, 0, 1, 1, "VULNERABLE")]
