@@ -4,8 +4,8 @@ Features are numbers read off the whole text. Cyclic boosting visits one feature
 on its bins, then the strongest pairs with four-cell trees; the trees add up to a lookup table per feature and pair.
 A score is the logistic function of the intercept and the tables' entries at the text's bins.
 
-The model is fitted on at most SAMPLE labelled training rows (those with the least hash of key and text length), a
-documented bound; features and scores cover all rows.
+The model is fitted on about SAMPLE labelled training rows at most (those whose hash of key, label and text length lies
+under a threshold, which is set by their number), a documented bound; features and scores cover all rows.
 
 Null and empty texts have the features of an empty text and get a score. Null keys, null labels and keys without a
 label train nothing; a key with several labels trains once with each different one. Without training rows every score is 0.5. Every
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column, materialize, per_slice, texts
+from .shared import column, per_slice, texts
 
 SAMPLE = 20_000
 BINS = 32
@@ -176,32 +176,35 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text", keep
     return df.mapInArrow(per_slice(rows), schema)
 
 
-def train(found: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", label_key: str = "doc_id", sample: int = SAMPLE) -> Gam:
-    """A model from the rows of with_features() that have a label and aren't held out (a column over `key`)."""
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "quality", label_key: str = "doc_id", sample: int = SAMPLE) -> Gam:
+    """A model from the documents that have a label and aren't held out (a column over `key`); only the sample's features are made."""
     known = labels.select(labels[label_key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y in (0, 1)").distinct()
-    rows = found.where(~F.coalesce(held_out, F.lit(True))).select("key", "x").join(known, "key")
-    some = rows.orderBy(F.xxhash64("key", "x", "y"), "key").limit(sample).collect()  # at most `sample` rows
-    return fit(np.array([r.x for r in some]).reshape(-1, len(FEATURES)), np.array([float(r.y) for r in some]))
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where(~F.coalesce(held_out, F.lit(True)))
+    sizes = rows.select("key").join(known, "key").count()
+    place = F.pmod(F.xxhash64("key", "y", F.length("text")), F.lit(1 << 30))
+    some = rows.join(known, "key").where(place < int((1 << 30) * min(1.0, 0.95 * sample / max(1, sizes)) if sizes > sample else 1 << 30)).limit(sample)
+    found = with_features(some, "key", "text", ("y",)).select("keep_y", "key", "x").collect()  # at most `sample` rows
+    found.sort(key=lambda r: (r.x, r.keep_y))
+    return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([float(r.keep_y) for r in found]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """One row a document: key, held_out, score, predicted. held_out: a column over `key`."""
-    found = materialize(with_features(docs, key, text), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(found, labels, held_out, sample=sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out, key, text, sample=sample))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array(column(batch, "x").flatten()).reshape(-1, len(FEATURES))
-        score = model.value.score(x)
+        score = model.value.score(np.array([features_of(t) for t in texts(batch, "words_text")]).reshape(-1, len(FEATURES)))
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("key", "held_out")), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["key", "held_out", "score", "predicted"])
 
-    df = found.select("key", F.coalesce(held_out, F.lit(False)).alias("held_out"), "x")
+    df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("words_text"))
+    df = df.select("key", F.coalesce(held_out, F.lit(False)).alias("held_out"), "words_text")
     schema = T.StructType([df.schema["key"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return df.mapInArrow(per_slice(rows, 4096), schema).withColumnRenamed("key", key)
+    return df.mapInArrow(per_slice(rows), schema).withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, keep: tuple[str, ...], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents (columns `keep`) that the classifier doesn't reject; each text is scored where it is read."""
-    model = docs.sparkSession.sparkContext.broadcast(train(materialize(with_features(docs, key, text), "features"), labels, held_out))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out, key, text))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([features_of(t) for t in texts(batch, "words_text")]).reshape(-1, len(FEATURES))

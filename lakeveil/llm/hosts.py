@@ -1,7 +1,7 @@
 """URL filters by rules and by empirical-Bayes host reputation.
 
-Outcomes (good or bad) of labelled pages are summed by host, registered domain (the last two labels of the host) and
-suffix (the last). At each level a beta-binomial prior is fitted to the spread of the level's groups: its strength
+Outcomes (good or bad) of labelled pages are summed by host (without user and port), registered domain and suffix. A
+suffix is the last label, or the last two if they are in a list (a parameter); a registered domain has one label more. At each level a beta-binomial prior is fitted to the spread of the level's groups: its strength
 comes from the method of moments. Shares are then shrunk from all pages to the suffix, the domain and the host, and a
 host is blocked if the lower bound of its posterior share of bad pages lies over a limit.
 
@@ -22,6 +22,11 @@ Z = 1.645
 LIMIT = 0.25
 #: Copies of a host's row that pages of one host are dealt to.
 SALT = 16
+#: Suffixes of two labels under which names are registered; a longer list can be given.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw",
+    "edu.au", "gov.au", "gov.uk", "me.uk", "ne.jp", "net.au", "net.uk", "or.jp", "org.au", "org.br", "org.nz", "org.uk", "org.za",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,6 +42,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule (verdict, host, path) that fits: a struct of rule and verdict, or null."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -59,10 +69,12 @@ def strength(groups: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z) -> DataFrame:
+def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row a host of `hosts` (host): pages, bad, share and bound. outcomes: host, bad (0 or 1)."""
-    domain = F.substring_index("host", ".", -2)
-    suffix = F.substring_index("host", ".", -1)
+    two = F.substring_index("host", ".", -2)
+    listed = two.isin(*suffixes)
+    domain = F.when(listed, F.substring_index("host", ".", -3)).otherwise(two)
+    suffix = F.when(listed, two).otherwise(F.substring_index("host", ".", -1))
     by_host = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
     by_host = hosts.select("host").distinct().join(by_host, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -77,13 +89,13 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z) -> DataFrame
     return by_host.join(of_domain, "domain").withColumn("share", share).select("host", F.col("n").alias("pages"), "bad", "share", (F.col("share") - z * spread).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", limit: float = LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", limit: float = LIMIT, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row a page: key, host, path, rule, verdict, share and bound of its host. outcomes: host, bad."""
     text = pages[url].cast("string")
-    df = pages.select(pages[key].alias("key"), host_of(text).alias("host"), path_of(text).alias("path"))
-    known = reputation(outcomes, df.select("host"))
+    df = pages.select(pages[key].alias("key"), host_of(text).alias("host"), path_of(text).alias("path")).withColumn("bare", bare(F.col("host")))
+    known = reputation(outcomes.select(bare(F.col("host")).alias("host"), "bad"), df.select(F.col("bare").alias("host")), suffixes=suffixes).withColumnRenamed("host", "bare")
     copies = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    df = df.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALT)).cast("int")).join(copies, ["host", "salt"])
+    df = df.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALT)).cast("int")).join(copies, ["bare", "salt"])
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return df.withColumn("found", rule).select(F.col("key").alias(key), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "share", "bound")

@@ -10,8 +10,9 @@ are merged by rank. Vectors are dense, so the first traversal sees every row of
 Queries and candidates meet in blocks (QUERIES x ROWS), each one task's work, whatever the number of either.
 
 Vectors null, or with null or non-finite components, take no part, nor do null keys. A shorter vector has zeros in
-the missing places. A key that occurs more than once stands for its greatest vector. Scores beyond 64 bits are cut to
-the largest 64-bit number of their sign. Ties go to the smaller key. Empty tables give an empty result.
+the missing places. Rows with one key are rows of their own: each is a candidate, and the results of queries with one
+key are ranked together; a query never meets rows of its own key. Scores beyond 64 bits are cut to the largest 64-bit
+number of their sign. Ties go to the smaller key. Other columns are left out. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ PROBE = 16
 
 
 def whole_vectors(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """(key, x): floor(scale * component) of the vectors that take part, one a key."""
-    df = vectors.select(vectors[key].cast("bigint").alias("key"), vectors[vector].cast("array<double>").alias("v"))
+    """(key, x, row): floor(scale * component) of the vectors that take part, and a number for each row."""
+    df = vectors.select(vectors[key].cast("bigint").alias("key"), vectors[vector].cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("row"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     df = df.where(F.col("key").isNotNull() & F.col("v").isNotNull() & fine)
-    return df.select("key", F.transform("v", lambda x: F.floor(x * scale)).alias("x")).groupBy("key").agg(F.max("x").alias("x"))
+    return df.select("key", F.transform("v", lambda x: F.floor(x * scale)).alias("x"), "row")
 
 
 def matrix(table: pa.Table, width: int) -> np.ndarray:
@@ -69,7 +70,6 @@ def search(q: np.ndarray, own: int, x: np.ndarray, keys: np.ndarray, low: np.nda
             if at == 0 and len(best) == k:  # essential: terms before the longest tail that cannot reach the threshold alone
                 tail = np.flatnonzero(rest[1:] < -best[-1][0])
                 stop = int(tail[0]) + 1 if len(tail) else len(order)
-                stop = min(len(order), max(PROBE, stop)) if stop < len(order) // 2 else PROBE
             else:
                 stop = min(len(order), at + PROBE)
             terms = order[at:stop]
@@ -90,8 +90,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     whole = whole_vectors(vectors, key, vector, scale)
     size = whole.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("width")).first()
     shards, blocks, width = max(1, -(-size.n // rows_a_block)), max(1, -(-size.q // queries_a_block)), size.width
-    queries = whole.where(is_query).select("key", "x", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"))
-    rows = whole.select("key", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    queries = whole.where(is_query).select("key", "x", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"))
+    rows = whole.select("key", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
 
     def meet(q: pa.Table, x: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "key": [], "score": []}

@@ -98,20 +98,23 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+TWO_LABELS = ", ".join(f"'{s}'" for s in hosts.SUFFIXES)
 URL_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
 ), known AS (
   SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), outcomes AS (
-  SELECT p.host, k.bad FROM parsed p JOIN known k ON k.doc_id = TRY_CAST(regexp_extract(p.path, '^/[^/]*/([0-9]{1,18})', 1) AS BIGINT)
+  SELECT p.bare AS host, k.bad FROM parsed p JOIN known k ON k.doc_id = TRY_CAST(regexp_extract(p.path, '^/[^/]*/([0-9]{1,18})', 1) AS BIGINT)
 ), by_host AS (
-  SELECT h.host, list_aggregate(string_split(h.host, '.')[-2:], 'string_agg', '.') AS domain, string_split(h.host, '.')[-1] AS suffix,
+  SELECT h.host, CASE WHEN two IN (""" + TWO_LABELS + """) THEN array_to_string(string_split(h.host, '.')[-3:], '.') ELSE two END AS domain,
+    CASE WHEN two IN (""" + TWO_LABELS + """) THEN two ELSE string_split(h.host, '.')[-1] END AS suffix,
     count(o.bad) AS n, CAST(coalesce(sum(o.bad), 0) AS BIGINT) AS bad
-  FROM (SELECT DISTINCT host FROM parsed) h LEFT JOIN outcomes o ON o.host = h.host GROUP BY h.host
+  FROM (SELECT DISTINCT bare AS host, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM parsed) h LEFT JOIN outcomes o ON o.host = h.host GROUP BY h.host, two
 ), by_domain AS (
   SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM by_host GROUP BY domain, suffix
 ), by_suffix AS (
@@ -134,12 +137,12 @@ of_host AS (SELECT h.host, h.n, m.host AS strength, (h.bad + m.host * d.share) /
 judged AS (SELECT host, share - 1.645 * sqrt(share * (1 - share) / (n + strength + 1)) > 0.25 AS bad FROM of_host),
 rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fitting AS (
-  SELECT p.page_id, p.host, p.path, r.rule_host || r.rule_path AS rule, r.verdict,
+  SELECT p.page_id, p.host, p.bare, p.path, r.rule_host || r.rule_path AS rule, r.verdict,
     row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST, r.rule_host || r.rule_path) AS k
   FROM parsed p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
 )
 SELECT page_id, f.host, path, rule, coalesce(verdict, CASE WHEN j.bad THEN 'block' ELSE 'allow' END) AS verdict
-FROM fitting f JOIN judged j ON j.host = f.host WHERE k = 1
+FROM fitting f JOIN judged j ON j.host = f.bare WHERE k = 1
 """
 
 NGRAM_SQL = """

@@ -123,8 +123,49 @@ def test_structures_are_confirmed():
     assert secrets.confirmed_spans(token({"typ": "JWT"})) == []
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END RSA PRIVATE KEY-----"
     assert ("pem", 0, len(pem)) in [(k, a, b) for a, k, b in secrets.confirmed_spans(pem)]
-    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
-    assert [k for _, k, _ in secrets.confirmed_spans(base64.b64encode(ssh + bytes(20)).decode())] == ["openssh"]
+    ssh = b"openssh-key-v1\0" + strings(b"none", b"none", b"") + (1).to_bytes(4, "big") + strings(strings(b"ssh-ed25519", b"\7" * 32), b"\5" * 8 + b"\6" * 64)
+    assert [k for _, k, _ in secrets.confirmed_spans(base64.b64encode(ssh).decode())] == ["openssh"]
+    for bad in (ssh[:-9], ssh[: len(ssh) - 76 - 55] + bytes(131), b"openssh-key-v1\0" + bytes(60)):  # blobs cut, empty, or none
+        assert secrets.confirmed_spans(base64.b64encode(bad).decode()) == []
+
+
+def strings(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+def test_keys_as_they_are_written_elsewhere():
+    key = rsa_key()
+    plain = base64.b64encode(key).decode()
+    wrapped = base64.encodebytes(key).decode()
+    kinds = lambda t: sorted({k for _, k, _ in secrets.confirmed_spans(t)})
+    assert kinds(wrapped) == ["der"] and kinds("\n".join("  " + x for x in wrapped.split("\n")) + "\nwords after it") == ["der"]
+    a, _, b = secrets.confirmed_spans(f"é key:\r\n{wrapped.replace(chr(10), chr(13) + chr(10))}tail")[0]
+    assert base64.b64decode(f"é key:\r\n{wrapped.replace(chr(10), chr(13) + chr(10))}tail"[a:b]) == key
+    assert kinds(f"path/key/{plain}") == ["der"] and kinds(base64.urlsafe_b64encode(key).decode().rstrip("=")) == ["der"]
+    assert kinds(":".join(f"{x:02x}" for x in key)) == ["der"]
+    armour = "-----BEGIN PRIVATE KEY-----{0}" + "{0}".join(wrapped.split("\n")) + "-----END PRIVATE KEY-----"
+    assert all("pem" in kinds('{"key": "' + armour.format(end) + '"}') for end in ("\n", "\\n", "\\r\\n", " "))
+    wrapped_key = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, key))
+    assert kinds(base64.b64encode(wrapped_key).decode()) == ["der"]
+    empty = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, key[:-1]))
+    assert kinds(base64.b64encode(empty).decode()) == []
+    dsa = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x7a" * 128, b"\x7b" * 20, b"\x7c" * 128, b"\x7d" * 128, b"\x7e" * 20)))
+    assert kinds(base64.b64encode(dsa).decode()) == ["der"]
+    lopsided = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x7a" * 128, b"\1\0\1", *[b"\x7c" * 128] * 6)))
+    assert kinds(base64.b64encode(lopsided).decode()) == []
+    spaced = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{ "alg": "HS256" }', b'{\n"sub":1}', b"\1\2"))
+    assert kinds(spaced) == ["jwt"]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rsa_key()).decode() + "-----END RSA PRIVATE KEY-----"
+    head = "-----BEGIN RSA PRIVATE KEY-----\n"
+    for text in (head * 200_000 + key, "-----END RSA PRIVATE KEY-----" * 200_000 + key, "M" * 4_000_000 + "\n" + key, "MIIE/" * 800_000 + "\n\n" + key, "a1" * 2_000_000 + " " + key):
+        began = time.process_time()
+        assert "pem" in [k for _, k, _ in secrets.confirmed_spans(text)]
+        assert time.process_time() - began < 20
 
 
 def brute_secrets(text):

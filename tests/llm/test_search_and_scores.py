@@ -15,14 +15,13 @@ def vectors(spark, rows):
 
 
 def brute_top(rows, k, queries_at=50, scale=256):
-    valid = {}
+    valid = []
     for key, v in rows:
         if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(float(np.float32(x)) * scale) for x in v]
-            valid[key] = max(valid.get(key, whole), whole)
+            valid.append((key, [math.floor(float(np.float32(x)) * scale) for x in v]))
     out = []
-    for q in (key for key in valid if key % queries_at == 0):
-        scores = sorted((-sum(a * b for a, b in zip(valid[q], v)), key) for key, v in valid.items() if key != q)[:k]
+    for q in {key for key, _ in valid if key % queries_at == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), key) for one, own in valid if one == q for key, v in valid if key != q)[:k]
         out += [(q, i + 1, key, max(-(2**63), min(2**63 - 1, -s))) for i, (s, key) in enumerate(scores)]
     return sorted(out)
 
@@ -38,6 +37,12 @@ def test_top_k_against_all_scores(spark, blocks):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 5)
 
 
+def test_rows_of_one_key_are_all_kept(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.25, 9.0])]
+    got = maxscore.top_k(vectors(spark, rows), F.col("key") == 1, 5, scale=256.0)
+    assert [(r.rank, r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(1, 2, 32768), (2, 2, 32768), (3, 2, 16384), (4, 2, 16384)]
+
+
 def test_top_k_of_large_numbers_few_rows_and_none(spark):
     rows = [(0, [3e9, -3e9]), (1, [2e9, 1e9]), (2, [3e38, 3e38])]
     small = [r for r in rows if r[0] < 2]
