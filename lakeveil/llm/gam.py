@@ -4,8 +4,8 @@ Features are numbers read off the whole text. Cyclic boosting visits one feature
 on its bins, then the strongest pairs with four-cell trees; the trees add up to a lookup table per feature and pair.
 A score is the logistic function of the intercept and the tables' entries at the text's bins.
 
-The model is fitted on about SAMPLE labelled training rows at most (those whose hash of key, label and text length lies
-under a threshold, which is set by their number), a documented bound; features and scores cover all rows.
+The model is fitted on the rows of at most SAMPLE labelled training keys (those whose hash of key and label lies under a
+threshold, which is set by their number; 2 SAMPLE rows at most, if keys occur more than once), a documented bound; features and scores cover all rows.
 
 Null and empty texts have the features of an empty text and get a score. Null keys, null labels and keys without a
 label train nothing; a key with several labels trains once with each different one. Without training rows every score is 0.5. Every
@@ -180,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
     """A model from the documents that have a label and aren't held out (a column over `key`); only the sample's features are made."""
     known = labels.select(labels[label_key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y in (0, 1)").distinct()
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where(~F.coalesce(held_out, F.lit(True)))
-    sizes = rows.select("key").join(known, "key").count()
-    place = F.pmod(F.xxhash64("key", "y", F.length("text")), F.lit(1 << 30))
-    some = rows.join(known, "key").where(place < int((1 << 30) * min(1.0, 0.95 * sample / max(1, sizes)) if sizes > sample else 1 << 30)).limit(sample)
-    found = with_features(some, "key", "text", ("y",)).select("keep_y", "key", "x").collect()  # at most `sample` rows
+    there = rows.select("key").distinct().join(known, "key")  # keys alone; no text is moved
+    n = there.count()
+    place = F.pmod(F.xxhash64("key", "y"), F.lit(1 << 30))
+    chosen = there.where(place < (1 << 30 if n <= sample else int((1 << 30) * 0.95 * sample / n))).limit(sample)  # so it may be broadcast
+    found = with_features(rows.join(F.broadcast(chosen), "key").limit(2 * sample), "key", "text", ("y",)).select("keep_y", "key", "x").collect()
     found.sort(key=lambda r: (r.x, r.keep_y))
     return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([float(r.keep_y) for r in found]))
 
