@@ -104,7 +104,7 @@ def shorter_prefix(n: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
-    """(key, no, id, token) of lines (key, no, id, h): a row without a token for each line, and one for each token of its prefix.
+    """Of lines (key, no, id, h): a row (key, no, id) without a token for each, and one (a, token) for each token of its prefix; a is half of the id.
 
     A prefix takes as many different first words as the prefix of a set of all the line's shingles has tokens, and
     every shingle that starts with them, so only these shingles are hashed. What a line is cut at is worked out in a
@@ -113,7 +113,9 @@ def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
     started = lines.withColumn("start", starts(F.col("h"), levels))
     cut = F.transform(F.array(F.array_distinct(F.sort_array("start"))), lambda firsts: F.coalesce(F.get(firsts, longer_prefix(F.size("start"))), F.lit(MOST)))
     rows = started.withColumn("cut", F.get(cut, F.lit(0))).select("key", "no", "id", "h", "cut", F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), "start")).alias("i", "x")).where(F.coalesce(F.col("x") < F.col("cut"), F.lit(False)))
-    return rows.select("key", "no", "id", F.when(F.col("i") > 0, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
+    head = F.col("i") == 0
+    own = [F.when(head, F.col(c)).alias(c) for c in ("key", "no", "id")]
+    return rows.select(*own, F.col("id.a").alias("a"), F.when(~head, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
 
 
 def with_sets(lines: DataFrame, levels: Column) -> DataFrame:
@@ -196,7 +198,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
     lines, levels = lines_of(df), rarity_levels(df)
     rows = materialize(prefixes(hashed(lines), levels), "prefixes")
-    every, tokens = rows.where("token is null").drop("token"), rows.where("token is not null").select("id.a", "token")
+    every, tokens = materialize(rows.where("token is null").select("key", "no", "id"), "lines"), rows.where("token is not null").select("a", "token")
 
     shared = materialize(tokens.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token"), "shared")
     some = materialize(tokens.join(small_side(shared, BROADCAST_TOKENS), "token").select("a").distinct(), "some")
@@ -208,7 +210,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if sets.count() > ordered.count():  # rows that occur more than once
         sets = materialize(sets.dropDuplicates(["ord"]), "sets")
     removed = repeats(sets).join(ordered.select("ord", "id"), "ord").select("id", F.lit(True).alias("gone"))
-    forget(shared, some, sets)
+    forget(rows, shared, some, sets)
 
     again = materialize(every.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id"), "again")
     copies = every.join(small_side(again), "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"))
@@ -221,7 +223,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         marked = every.select("key", "no", "id", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")).join(salted, ["id", "salt"])
     gone = marked.where(F.col("gone") | (F.struct("key", "no") != F.col("first"))).groupBy("key").agg(F.collect_set("no").alias("gone"))
     gone = materialize(gone, "gone")
-    forget(rows, ordered, again, flags)
+    forget(every, ordered, again, flags)
     clean_shuffles(docs.sparkSession)
     return without_lines(docs, gone, key, text)
 
