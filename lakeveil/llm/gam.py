@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
     n = there.count()
     place = F.pmod(F.xxhash64("key", "y"), F.lit(1 << 30))
     chosen = there.where(place < (1 << 30 if n <= sample else int((1 << 30) * 0.95 * sample / n))).limit(sample)  # so it may be broadcast
-    found = with_features(rows.join(F.broadcast(chosen), "key").limit(2 * sample), "key", "text", ("y",)).select("keep_y", "key", "x").collect()
+    found = with_features(rows.join(F.broadcast(chosen), "key"), "key", "text", ("y",)).select("keep_y", "x").limit(2 * sample).collect()
     found.sort(key=lambda r: (r.x, r.keep_y))
     return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([float(r.keep_y) for r in found]))
 
