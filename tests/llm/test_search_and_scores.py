@@ -1,5 +1,6 @@
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -67,7 +68,7 @@ WEIGHTS = [("▁", 0.0), ("▁a", -1.0), ("a", -2.0), ("b", -3.0), ("ab", -4.0),
 
 def brute_marginal(model, weights, word):
     """Sum over all segmentations, one after the other."""
-    text, weights = "▁" + word, dict(weights)
+    text, unknown, stop, weights = "▁" + word, weights.unknown, weights.stop, dict(weights.pieces)
 
     def paths(i):
         if i == len(text):
@@ -76,13 +77,13 @@ def brute_marginal(model, weights, word):
             piece = text[i:j]
             w = weights.get(piece)
             if w is None and j == i + 1 and piece not in weights:
-                w = math.log(lattice.UNKNOWN) - 8 * len(piece.encode()) * math.log(2)
+                w = math.log(unknown) - 8 * len(piece.encode()) * math.log(2)
             if w is not None:
                 for p in paths(j):
-                    yield p * math.exp(w) * (1 - lattice.STOP)
+                    yield p * math.exp(w) * (1 - stop)
         return
 
-    return sum(paths(0)) * lattice.STOP / (1 - lattice.STOP) * (1 - lattice.END_SHARE)
+    return sum(paths(0)) * stop / (1 - stop) * (1 - lattice.END_SHARE)
 
 
 def test_lattice_sums_all_segmentations():
@@ -91,7 +92,54 @@ def test_lattice_sums_all_segmentations():
     for word in ("a", "ab", "abab", "bbab", "aéb", "zz", "abbbabba"):
         assert math.isclose(model.log_marginal(word), math.log(brute_marginal(model, weights, word)), rel_tol=1e-9)
     assert math.isfinite(model.log_marginal("x" * 30_000))
-    assert sum(math.exp(w) for _, w in weights) < 1
+    assert math.isclose(sum(math.exp(w) for _, w in weights.pieces) + weights.unknown, 1)
+
+
+def brute_expected(weights, words):
+    """Expected counts by listing all segmentations."""
+    known, found = dict(weights.pieces), {}
+    number = {p: i for i, (p, _) in enumerate(weights.pieces)}
+
+    def paths(text):
+        if not text:
+            yield 1.0, []
+        for j in range(1, len(text) + 1):
+            piece = text[:j]
+            w = known.get(piece, math.log(weights.unknown) - 8 * len(piece.encode()) * math.log(2) if j == 1 else None)
+            if w is not None:
+                for p, rest in paths(text[j:]):
+                    yield p * math.exp(w) * (1 - weights.stop), [number.get(piece, lattice.NO_PIECE), *rest]
+
+    for word in words:
+        every = list(paths("▁" + word))
+        total = sum(p for p, _ in every)
+        for p, pieces in every:
+            for x in pieces:
+                found[x] = found.get(x, 0.0) + p / total
+    return {**found, lattice.WORDS: len(words)}
+
+
+def test_weights_are_learned_by_expected_counts(spark):
+    words, first = ["a", "ab", "abab", "bbab", "aéb", "zz", "abbbabba"], lattice.piece_weights(WEIGHTS)
+    weights = first
+    for _ in range(lattice.ROUNDS):
+        weights = lattice.learned(first, brute_expected(weights, words))
+    rows = [(w.encode(), 1 + i) for i, w in enumerate(words)] + [(b"", 9), (b"bbbb", 0)]  # the end token and a word of held-out texts don't count
+    got = lattice.learn(spark.createDataFrame(rows, "word binary, c bigint"), WEIGHTS)
+    assert [p for p, _ in got.pieces] == [p for p, _ in weights.pieces]
+    for (_, a), (_, b) in zip(got.pieces, weights.pieces):
+        assert math.isclose(a, b, rel_tol=1e-9)
+    assert math.isclose(got.unknown, weights.unknown, rel_tol=1e-9) and math.isclose(got.stop, weights.stop, rel_tol=1e-9)
+    assert math.isclose(sum(math.exp(w) for _, w in got.pieces) + got.unknown, 1)
+    none = lattice.learn(spark.createDataFrame([], "word binary, c bigint"), WEIGHTS)
+    assert all(math.isclose(a, b) for (_, a), (_, b) in zip(none.pieces, first.pieces)) and math.isclose(none.stop, first.stop)
+
+
+def test_a_long_word_is_learned_in_stretches():
+    model, found = lattice.Lattice(lattice.piece_weights(WEIGHTS)), defaultdict(float)
+    model.expect("ab" * 10_000, found)
+    assert math.isclose(sum(n * len(WEIGHTS[i][0]) for i, n in found.items() if i >= 0), 20_001, rel_tol=1e-9)
+    assert found[lattice.WORDS] == 1
 
 
 @pytest.mark.parametrize("hot", [lattice.HOT, 3])
@@ -100,12 +148,19 @@ def test_scores_of_texts(spark, hot):
     docs = cases.documents(spark, rows)
     got = lattice.score_texts(docs, WEIGHTS, queries.fold(docs["doc_id"]) == 1, hot=hot).collect()
     assert len(got) == len(rows)
-    want, weights = cases.brute_base([r for r in rows]), lattice.piece_weights(WEIGHTS)
-    model, counts = lattice.Lattice(weights), {}
+    want, counts = cases.brute_base([r for r in rows]), {}
     for key, t in rows:
         if key is None or not cases.held(key, 1):
             for w in [*cases.words(t), ""]:
                 counts[w] = counts.get(w, 0) + 1
+    weights = first = lattice.piece_weights(WEIGHTS)
+    for _ in range(lattice.ROUNDS):
+        found = defaultdict(float)
+        for w in counts:
+            if w:
+                lattice.Lattice(weights).expect(w, found)
+        weights = lattice.learned(first, found)
+    model = lattice.Lattice(weights)
     mass, n = max(1, sum(c == 1 for c in counts.values())), sum(counts.values())
     texts = {}
     for key, t in rows:
@@ -155,6 +210,7 @@ def test_ties_go_to_the_piece_that_starts_first():
     assert model.count("aaa") == (2, -7.0)  # the mark, then aaa; not a + aa, aa + a or a + a + a
     assert model.count("aaab") == (3, -10.0)
     assert model.count("") == (0, 0.0)
+    assert model.count("a" * 200_001) == (66_668, -400_003.0)  # a word far longer than any piece
     assert model.best("é") == (2, -16.0)
 
 
