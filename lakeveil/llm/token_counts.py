@@ -10,12 +10,14 @@ has a space mark after another character or holds a line end, so a text falls ap
 space marks followed by other characters, which repeat and are memorised by each worker. Whole-number scores add up
 exactly, so the chunks' sums are the text's.
 
-Null and empty texts have no tokens and score 0; every row gives one row; other columns are left out.
+Null and empty texts have no tokens and score 0; every row gives one row; other columns are left out. The recursion
+runs while the automaton reads and holds one piece's length of places, so a very long chunk needs no more memory.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,11 +46,11 @@ class Viterbi:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.separable = True
+        self.separable, self.width = True, 2
         least = 0.0
         for piece, score in vocabulary:
             score = int(score) if float(score).is_integer() else score
-            least = min(least, score)
+            least, self.width = min(least, score), max(self.width, len(piece) + 1)
             self.automaton.add_word(piece, (len(piece), score))
             self.separable &= SPACE not in piece.lstrip(SPACE) and "\n" not in piece and isinstance(score, int)
         self.automaton.make_automaton()
@@ -57,25 +59,24 @@ class Viterbi:
 
     def best(self, chunk: str) -> tuple[int, float]:
         """(pieces, score) of a chunk."""
-        n = len(chunk)
-        scores, counts = [0.0] * (n + 1), [0] * (n + 1)
-        scores[0] = 0
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, found in self.automaton.iter(chunk):
-            matches[end + 1].append(found)
-        for end in range(1, n + 1):
-            best, count, single = None, 0, False
-            for size, score in matches[end]:  # longest first
+        n, width = len(chunk), self.width
+        scores, counts = [0] * width, [0] * width  # of the last places, as many as a piece reaches back
+        best, count, single, at = None, 0, False, 1
+        for last, found in chain(self.automaton.iter(chunk), ((n, None),)):
+            while at <= last:  # all pieces that end at this place are known
+                if not single:
+                    total = scores[(at - 1) % width] + self.unknown
+                    if best is None or total > best:
+                        best, count = total, counts[(at - 1) % width] + len(chunk[at - 1].encode())
+                scores[at % width], counts[at % width] = best, count
+                best, count, single, at = None, 0, False, at + 1
+            if found:
+                size, score = found  # longest first
                 single |= size == 1
-                total = scores[end - size] + score
+                total = scores[(at - size) % width] + score
                 if best is None or total > best:
-                    best, count = total, counts[end - size] + 1
-            if not single:
-                total = scores[end - 1] + self.unknown
-                if best is None or total > best:
-                    best, count = total, counts[end - 1] + len(chunk[end - 1].encode())
-            scores[end], counts[end] = best, count
-        return counts[n], scores[n]
+                    best, count = total, counts[(at - size) % width] + 1
+        return counts[n % width], scores[n % width]
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a text, a space mark before it as the tokenizer puts it."""
