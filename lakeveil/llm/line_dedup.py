@@ -76,6 +76,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("no", "line")).where(F.trim("line") != "")
 
 
+def lines_at(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """(no, ord, own, line) of the lines at chosen places. docs: key, text, neither null; at: key, places (an array of no, ord, own).
+
+    A text is parted once, in a lambda's argument; only the lines asked for become rows.
+    """
+    chosen = F.transform(F.array(F.split(spaced(F.col("text")), "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.no, p.ord, p.own, F.get(lines, p.no).alias("line"))))
+    return docs.join(at, "key").select(F.inline(F.get(chosen, F.lit(0)))).where("line is not null")
+
+
 def hashed(lines: DataFrame) -> DataFrame:
     """With the hashes of the line's words (h), and of all of them (id), in place of the line."""
     gaps = F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
@@ -202,8 +211,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     some = materialize(tokens.join(small_side(shared, BROADCAST_TOKENS), "token").select("a").distinct(), "some")
     first = every.join(small_side(some), F.col("id.a") == F.col("a"), "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("at"))
     ordered = materialize(first.orderBy("at", "id").select("id", "at", F.monotonically_increasing_id().alias("ord")), "ordered")
-    at = ordered.select("at.key", "at.no", "ord", F.col("id").alias("own"))
-    there = hashed(lines.join(small_side(at), ["key", "no"])).select("ord", "h", F.coalesce(F.col("id") == F.col("own"), F.lit(False)).alias("same"))
+    at = ordered.groupBy("at.key").agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "ord", F.col("id").alias("own"))).alias("places"))  # lines of one document
+    there = hashed(lines_at(df, small_side(materialize(at, "at")))).select("ord", "h", F.coalesce(F.col("id") == F.col("own"), F.lit(False)).alias("same"))
     sets = materialize(with_sets(there, levels), "sets").where("same").drop("same")  # tested where it is read, lest the test hash the words again
     if sets.count() > ordered.count():  # rows that occur more than once
         sets = materialize(sets.dropDuplicates(["ord"]), "sets")
