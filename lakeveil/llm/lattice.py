@@ -144,13 +144,13 @@ class Lattice:
 
 def in_workers(spark: SparkSession, weights: Weights) -> Callable[[], Lattice]:
     """The lattice, built once a worker."""
-    shared = spark.sparkContext.broadcast(weights)  # a vocabulary file: bounded, whatever the input
+    shared = spark.sparkContext.broadcast(tuple(weights))  # a vocabulary file: bounded, whatever the input; plain values, as executors need not have this package
     name = str(shared._jbroadcast.id())
 
     def get() -> Lattice:
         memory = worker_memory()
         if memory.get("lattice_of") != name:
-            memory["lattice_of"], memory["lattice"] = name, Lattice(shared.value)
+            memory["lattice_of"], memory["lattice"] = name, Lattice(Weights(*shared.value))
         return memory["lattice"]
 
     return get
