@@ -191,10 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """One row a document: key, held_out, score, predicted. held_out: a column over `key`."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out, key, text, sample=sample))
+    model = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels, held_out, key, text, sample=sample)))  # plain values, as executors need not have this package
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.value.score(np.array([features_of(t) for t in texts(batch, "words_text")]).reshape(-1, len(FEATURES)))
+        score = Gam(**model.value).score(np.array([features_of(t) for t in texts(batch, "words_text")]).reshape(-1, len(FEATURES)))
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("key", "held_out")), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["key", "held_out", "score", "predicted"])
 
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("words_text"))
@@ -205,11 +205,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, key: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, keep: tuple[str, ...], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents (columns `keep`) that the classifier doesn't reject; each text is scored where it is read."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held_out, key, text))
+    model = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels, held_out, key, text)))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([features_of(t) for t in texts(batch, "words_text")]).reshape(-1, len(FEATURES))
-        kept = batch.filter(pa.array(model.value.score(x) >= threshold))
+        kept = batch.filter(pa.array(Gam(**model.value).score(x) >= threshold))
         return kept.drop_columns(["words_text"])
 
     df = docs.select(*(docs[c].alias(f"keep_{c}") for c in keep), docs[text].cast("string").alias("words_text"))
