@@ -66,19 +66,38 @@ def progress(done: Column, total: Column) -> Column:
     return F.when(total <= 0, 0).otherwise((done * 100 / total).cast("int"))
 
 
+#: Matches whose offsets are summed up together; sums of these sums give each block its start.
+OFFSETS = 256
+MATCHES = "array<struct<text:string,start:int,end:int>>"
+
+
 def matches(text: Column, pattern: Column) -> Column:
-    """All matches of a pattern: array of (text, start, end), code points from 0, end exclusive."""
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    """All matches of a pattern: array of (text, start, end), code points from 0, end exclusive.
+
+    Offsets are running sums of the lengths of gaps and matches, within blocks and then over blocks, as a fold copies
+    what it has gathered at every step.
+    """
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), lambda x, gap: F.struct(x.alias("text"), F.length(gap).alias("gap")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.struct(x["found"].alias("text"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["text"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    def block(rows: Column) -> Column:
+        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out")), step)
+
+    def in_blocks(rows: Column) -> Column:
+        n = F.size(rows) - 1  # the last gap has no match after it
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(OFFSETS)), lambda at: block(F.slice(rows, at, F.least(F.lit(OFFSETS), F.greatest(n - at + 1, F.lit(0))))))
+
+    def placed(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(blocks, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, at: F.transform(x["out"], lambda m: F.struct(m["text"].alias("text"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end")))))
 
-    pairs = F.transform(found, lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x.alias("found")))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    once = F.transform(F.array(pairs), in_blocks)  # lambdas' arguments are worked out once
+    return F.get(F.transform(once, placed), F.lit(0))
 
 
 def literal(term: Column) -> Column:

@@ -8,15 +8,20 @@ need a model or a lexicon; the lexicon is the default.
 from __future__ import annotations
 
 import hashlib
+import sys
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..fixed import ENTITIES, SHORTEST_TERM
-from ..functions.text import clean_form, matches, strip
+from ..functions.text import MATCHES, clean_form, matches, strip
+
+# The address check travels to the workers by value, so executors need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{6,}[0-9]"
@@ -28,20 +33,13 @@ CRYPTO = r"bc1[02-9ac-hj-np-z]{11,71}|[13][1-9A-HJ-NP-Za-km-z]{25,34}"
 
 WORD = r"[\p{L}\p{N}_]+"
 
+#: Terms of a dictionary up to which it is broadcast.
+TERMS = 10_000
+
 #: Priority of types where spans overlap, and order of detection.
 ORDER = ("EMAIL_ADDRESS", "CREDIT_CARD", "IBAN_CODE", "CRYPTO", "PHONE_NUMBER", "PERSON", "LOCATION")
 
 
-def found(pages: DataFrame, pattern: str, entity: str, hint: Column | None = None, valid=None) -> DataFrame:
-    """All matches of a pattern. hint: a cheap condition that goes before it; valid: a condition on a match."""
-    pages = pages.where(hint) if hint is not None else pages
-    hits = F.explode(matches(F.col("text"), F.lit(pattern)))
-    rows = pages.where(F.col("text").rlike(pattern)).select("container", "page_no", F.lit(entity).alias("entity_type"), hits.alias("hit"))
-    rows = rows.select("container", "page_no", "entity_type", F.col("hit.text").alias("value"), F.col("hit.start").cast("bigint").alias("start"), F.col("hit.end").cast("bigint").alias("end"))
-    rows = rows.where(F.length(strip(F.col("value"))) >= SHORTEST_TERM)
-    return rows.where(valid(F.col("value"))) if valid else rows
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -57,23 +55,6 @@ def mod_97(account: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c)))
 
 
-def emails(pages: DataFrame) -> DataFrame:
-    return found(pages, EMAIL, "EMAIL_ADDRESS", F.contains("text", F.lit("@")))
-
-
-def phones(pages: DataFrame) -> DataFrame:
-    return found(pages, PHONE, "PHONE_NUMBER", valid=lambda v: F.length(digits(v)).between(7, 15))
-
-
-def cards(pages: DataFrame) -> DataFrame:
-    return found(pages, CARD, "CREDIT_CARD", valid=lambda v: F.length(digits(v)).between(13, 19) & F.call_function("luhn_check", digits(v)))
-
-
-def ibans(pages: DataFrame) -> DataFrame:
-    compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
-    return found(pages, IBAN, "IBAN_CODE", valid=lambda v: F.length(compact(v)).between(15, 34) & (mod_97(compact(v)) == 1))
-
-
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 
@@ -102,11 +83,64 @@ def bech32(address: str) -> bool:
 
 @F.pandas_udf(BooleanType())
 def crypto_valid(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: bech32(v) if v.startswith("bc1") else base58check(v))
+    """Nulls are no addresses and pass."""
+    return values.map(lambda v: v is None or (bech32(v) if v.startswith("bc1") else base58check(v)))
+
+
+def compact(account: Column) -> Column:
+    return F.replace(account, F.lit(" "), F.lit(""))
+
+
+#: Of each entity: its pattern, a text without which nothing matches, and the condition on a match.
+PATTERNS = {
+    "EMAIL_ADDRESS": (EMAIL, "@", None),
+    "PHONE_NUMBER": (PHONE, None, lambda v: F.length(digits(v)).between(7, 15)),
+    "IBAN_CODE": (IBAN, None, lambda v: F.length(compact(v)).between(15, 34) & (mod_97(compact(v)) == 1)),
+    "CREDIT_CARD": (CARD, None, lambda v: F.length(digits(v)).between(13, 19) & F.call_function("luhn_check", digits(v))),
+    "CRYPTO": (CRYPTO, None, None),
+}
+
+
+def found(pages: DataFrame, *entities: str) -> DataFrame:
+    """All matches of the patterns of these entities, in one pass over the pages."""
+
+    def named(entity: str) -> Column:
+        pattern, hint, _ = PATTERNS[entity]
+        there = F.col("text").rlike(pattern)
+        there = there if hint is None else F.contains("text", F.lit(hint)) & there
+        hits = F.when(there, matches(F.col("text"), F.lit(pattern))).otherwise(F.array().cast(MATCHES))
+        return F.transform(hits, lambda m: F.struct(F.lit(entity).alias("entity_type"), m["text"].alias("value"), m["start"].cast("bigint").alias("start"), m["end"].cast("bigint").alias("end")))
+
+    rows = pages.select("container", "page_no", F.explode(F.concat(*map(named, entities))).alias("hit")).select("container", "page_no", "hit.*")
+    rows = rows.where(F.length(strip(F.col("value"))) >= SHORTEST_TERM)
+    valid = F.lit(True)
+    for entity in entities:
+        rule = PATTERNS[entity][2]
+        valid = valid if rule is None else valid & F.when(F.col("entity_type") == entity, rule(F.col("value"))).otherwise(True)
+    rows = rows.where(valid)
+    if "CRYPTO" in entities:
+        rows = rows.where(crypto_valid(F.when(F.col("entity_type") == "CRYPTO", F.col("value"))))
+    return rows
+
+
+def emails(pages: DataFrame) -> DataFrame:
+    return found(pages, "EMAIL_ADDRESS")
+
+
+def phones(pages: DataFrame) -> DataFrame:
+    return found(pages, "PHONE_NUMBER")
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    return found(pages, "CREDIT_CARD")
+
+
+def ibans(pages: DataFrame) -> DataFrame:
+    return found(pages, "IBAN_CODE")
 
 
 def crypto(pages: DataFrame) -> DataFrame:
-    return found(pages, CRYPTO, "CRYPTO").where(crypto_valid("value"))
+    return found(pages, "CRYPTO")
 
 
 def lexicon(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -125,14 +159,15 @@ def lexicon(pages: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def detect(pages: DataFrame, entities: tuple[str, ...] = ENTITIES, names: DataFrame | None = None) -> DataFrame:
-    """The union of the detectors asked for."""
-    every = {"EMAIL_ADDRESS": emails, "PHONE_NUMBER": phones, "IBAN_CODE": ibans, "CREDIT_CARD": cards, "CRYPTO": crypto}
+    """The union of the detectors asked for; all patterns share one pass."""
     unknown = set(entities) - set(ENTITIES)
     if unknown:
         raise ValueError(f"no such entity: {', '.join(sorted(unknown))}")
-    parts = [f(pages) for name, f in every.items() if name in entities]
-    if names is not None:
-        parts.append(lexicon(pages, names).where(F.col("entity_type").isin(*entities)))
+    own = [name for name in PATTERNS if name in entities]
+    parts = [found(pages, *own)] if own else []
+    if names is not None or not parts:
+        lexical = lexicon(pages, names) if names is not None else pages.sparkSession.createDataFrame([], "container string, page_no bigint, entity_type string, value string, start bigint, end bigint")
+        parts.append(lexical.where(F.col("entity_type").isin(*entities)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -142,9 +177,18 @@ def per_value(detections: DataFrame) -> DataFrame:
 
 
 def allowed_exactly(detections: DataFrame, allow: DataFrame) -> DataFrame:
-    """Detections but those whose clean form is a term, or empty."""
-    clean = detections.withColumn("clean", clean_form(F.col("value"))).where("clean <> ''")
-    return clean.join(allow.select(F.col("term").alias("clean")), "clean", "left_anti")
+    """Detections but those whose clean form is a term, or empty.
+
+    A dictionary of at most TERMS terms is broadcast, so that no detection moves. A larger one first meets the distinct
+    values, which are partly summed up before they move; only values that it holds are then taken out.
+    """
+    terms = allow.select(F.col("term").alias("clean")).distinct()
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        clean = detections.withColumn("clean", clean_form(F.col("value"))).where("clean <> ''")
+        return clean.join(F.broadcast(terms), "clean", "left_anti")
+    values = detections.select("value").distinct().withColumn("clean", clean_form(F.col("value")))
+    gone = values.join(terms, "clean", "left_semi").select("value")
+    return detections.join(gone, "value", "left_anti").withColumn("clean", clean_form(F.col("value"))).where("clean <> ''")
 
 
 def allowed_fuzzily(detections: DataFrame, allow: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import MODES
+from ..fixed import IMAGE_LABEL, MODES
+from ..functions.text import collapse, entity_name, infer_type
+from .review import read_payload
 from .spans import PAGE
 
 #: An invisible separator, put between a placeholder and a letter, digit, low line or placeholder beside it.
@@ -39,15 +41,11 @@ def rebuild(pages: DataFrame, spans: DataFrame, apart: bool = False) -> DataFram
 
 def merged(spans: DataFrame) -> DataFrame:
     """Spans of a page with those that touch joined, so that nothing under any of them stays."""
-    own = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    safe = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.slice("all", F.lit(1), F.lit(1)), step)
-    return own.select(*PAGE, F.explode(safe).alias("x")).select(*PAGE, F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    place = Window.partitionBy(*PAGE).orderBy("start", "end")
+    reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.select(*PAGE, "start", "end").withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    groups = opened.withColumn("part", F.sum("opens").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return groups.groupBy(*PAGE, "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
 def anonymize(pages: DataFrame, spans: DataFrame, mask: str = "") -> DataFrame:
@@ -66,6 +64,34 @@ def export(mode: str, pages: DataFrame, spans: DataFrame) -> DataFrame:
     return anonymize(pages, spans) if mode == "anonymize" else pseudonymize(pages, spans)
 
 
+def named_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Redactions (container, page_no, start, end, content) as values for the registry: what a mark's payload says goes first.
+
+    Without a payload of ours the page's text under the mark is typed; a mark over no text stands for an image.
+    """
+    got = read_payload(F.col("content"))
+    clipped = collapse(F.substring(F.col("text"), F.col("start").cast("int") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)).cast("int")))
+    both = marks.join(pages.select(*PAGE, "text"), list(PAGE)).withColumns({"said": got["original"], "kind": got["entity_type"], "clip": F.coalesce(clipped, F.lit(""))})
+    value = F.coalesce("said", F.when(F.col("clip") != "", F.col("clip")), F.lit(IMAGE_LABEL))
+    kind = F.coalesce("kind", F.when((F.col("clip") == "") & F.col("said").isNull(), "IMAGE").otherwise(infer_type(value)))
+    return both.select(*PAGE, entity_name(kind).alias("entity_type"), value.alias("value"), "start", "end")
+
+
+def save(texts: DataFrame, text_path: str, maps: DataFrame | None = None, map_path: str | None = None) -> None:
+    """Write an export: the restore maps (container, content) first, in a place of their own, then the texts.
+
+    A text with placeholders must not be there without its map; if the maps can't be written, no text is.
+    """
+    if (maps is None) != (map_path is None):
+        raise ValueError("restore maps and their path go together")
+    if maps is not None:
+        ends = lambda p: p.rstrip("/") + "/"
+        if ends(map_path).startswith(ends(text_path)) or ends(text_path).startswith(ends(map_path)):
+            raise ValueError("restore maps are kept apart from the texts")
+        maps.select("container", "content").write.mode("errorifexists").parquet(map_path)
+    texts.write.mode("errorifexists").parquet(text_path)
+
+
 def restore(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """Placeholders back to originals, as whole tokens: a run of capitals, digits and low lines, and separators around it.
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import IMAGE_LABEL
 from ..functions.boxes import overlap
 from ..functions.text import literal, matches
 
@@ -65,6 +66,22 @@ def resolve(candidates: DataFrame, disjoint: bool) -> DataFrame:
     return rows.select(*PAGE, *(F.col(f"x.{c}").alias(c) for c in ("priority", "term", "start", "end", "entity_type")))
 
 
+def plan(blocked: DataFrame, found: DataFrame, protected: DataFrame | None = None, images: DataFrame | None = None, existing: DataFrame | None = None, disjoint: bool = False) -> DataFrame:
+    """New redactions of each page: images, then block terms, then detections that touch nothing protected, resolved.
+
+    images and existing: container, page_no, start, end. Marks that are there already come first; nothing is put on
+    them, and they are no part of the result.
+    """
+    found = found if protected is None else protect(found, protected)
+    parts = [(blocked, BLOCK), (found, DETECTION)]
+    for spans, priority, term, entity in ((images, IMAGE, IMAGE_LABEL, "IMAGE"), (existing, EXISTING, "", "")):
+        if spans is not None:
+            parts.append((spans.withColumns({"term": F.lit(term), "entity_type": F.lit(entity)}), priority))
+    columns = (*PAGE, "priority", "term", "start", "end", "entity_type")
+    every = reduce(DataFrame.unionByName, (df.withColumn("priority", F.lit(priority)).select(*columns) for df, priority in parts))
+    return resolve(every, disjoint).where(F.col("priority") != EXISTING)
+
+
 def touching(items: DataFrame, redactions: DataFrame, keep: bool = False) -> DataFrame:
     """Items (with container, page_no, start, end) that touch a redaction, or with `keep` those that don't."""
     a, b = items.alias("a"), redactions.alias("b")

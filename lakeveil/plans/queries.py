@@ -322,9 +322,13 @@ def entry_count(spark, d):
 
 
 def restore_payload(spark, d):
+    """Digests of the entries as the payloads hold them."""
     found = assigned(document_pages(spark, d))
-    entries = found.groupBy("container").agg(F.sort_array(F.collect_list(F.struct("page_no", "placeholder", "original"))).alias("e"))
-    return entries.select("container", F.sha2(F.array_join(F.transform("e", lambda x: F.concat_ws("|", x["page_no"].cast("string"), x["placeholder"], x["original"])), "\n"), 256).alias("entries_sha256"))
+    no_file = F.lit(None).cast("string")
+    payloads = vault.payloads(found, found.select("container").distinct().withColumns({"source_sha256": no_file, "output_sha256": no_file}))
+    entries = F.from_json("payload", "entries array<struct<page_no:bigint,placeholder:string,original:string>>")["entries"]
+    lines = F.transform("e", lambda x: F.concat_ws("|", x["page_no"].cast("string"), x["placeholder"], x["original"]))
+    return payloads.select("container", entries.alias("e")).select("container", F.sha2(F.array_join(lines, "\n"), 256).alias("entries_sha256"))
 
 
 def export_pseudonymize(spark, d):
@@ -411,9 +415,8 @@ def review_clear(spark, d):
 def redact_plan(spark, d):
     """Block terms, then detections that no allowed span protects, resolved by priority."""
     p = document_pages(spark, d)
-    found = spans.protect(spans.occurrences(p, values_of(detections(p)), on_page=True), spans.occurrences(p, terms(spark, ("mail5.example.com",))))
-    found = found.withColumn("priority", F.lit(spans.DETECTION))
-    return end_named(spans.resolve(blocked(p).unionByName(found.select(*blocked(p).columns)), disjoint=False))
+    found = spans.occurrences(p, values_of(detections(p)), on_page=True)
+    return end_named(spans.plan(blocked(p), found, spans.occurrences(p, terms(spark, ("mail5.example.com",)))))
 
 
 Query = Callable[[SparkSession, str], DataFrame]

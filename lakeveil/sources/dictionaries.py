@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import SHORTEST_TERM
 from ..functions.text import strip
+from .pages import exists
 
 
 def terms(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -16,8 +17,7 @@ def terms(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The terms of a file; none if there is no such file."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
+    if not exists(spark, path):
         return spark.createDataFrame([], "term string")
     return terms(spark.read.text(path))
 

@@ -35,6 +35,38 @@ def accepted(path: Column) -> Column:
     return F.when(path.isNull() | (strip(path) == ""), "empty").when(~F.lower(path).endswith(".pdf"), "not a pdf")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
+
+
+def open_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder or pattern (path, content, refused): refused by name, or as locked by a password (an /Encrypt entry). A path without files is an error."""
+    if not (path or "").strip():
+        raise ValueError("a path is needed")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    locked = F.contains(F.col("content"), F.lit(b"/Encrypt"))
+    return files.withColumn("refused", F.coalesce(accepted(F.col("path")), F.when(locked, "password-protected")))
+
+
+def find_data(spark: SparkSession, folders: list[str], ending: str = ".traineddata") -> str | None:
+    """The first folder, in the order given, that holds a file with this ending."""
+    for folder in folders:
+        if not folder or not exists(spark, folder):
+            continue
+        there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if any(f.getPath().getName().endswith(ending) for f in fs.listStatus(there)):
+            return folder
+    return None
+
+
+def page_number(entry: Column, n_pages: Column) -> Column:
+    """What was typed as a page (from 1) as a place from 0; null if it is no whole number or there is no such page."""
+    number = strip(entry).try_cast("int")
+    return F.when(number.between(1, n_pages), number - 1)
+
+
 def needs_ocr(text: Column, images: Column) -> Column:
     """images: how many, null if they can't be read."""
     n = F.length(strip(text))

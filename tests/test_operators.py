@@ -249,3 +249,95 @@ def test_blank_needles_are_none(spark):
     needles = spark.createDataFrame([("a", ""), ("a", " "), ("a", None), ("a", "z")], "container string, needle string")
     files = spark.createDataFrame([("a", bytearray(b"\x00Zz"))], "container string, content binary")
     assert [tuple(r) for r in verify.leak_check(p, meta, needles, files).collect()] == [("a", "z", 0, 0, 1, 1, "VULNERABLE")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 20000])
+def test_match_offsets_of_many_matches(spark, n):
+    rows = spark.createDataFrame([("é ab1 " * n,)], "x string").select(F.explode(text.matches(F.col("x"), F.lit("ab1"))).alias("m")).select("m.*").collect()
+    assert [(r.text, r.start, r.end) for r in rows] == [("ab1", 6 * i + 2, 6 * i + 5) for i in range(n)]
+
+
+def test_detectors_share_one_scan(spark):
+    p = spark.createDataFrame([("d", 1, "a@b.org, 4111 1111 1111 1111, 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa, 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb"), ("d", 2, None), ("d", 3, "")], pages.PAGES)
+    found = detect.detect(p)
+    assert sorted((r.entity_type, r.value) for r in found.collect()) == [("CREDIT_CARD", "4111 1111 1111 1111"), ("CRYPTO", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"), ("EMAIL_ADDRESS", "a@b.org")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert detect.detect(p, ("PERSON",)).count() == 0
+
+
+def test_allowed_exactly_broadcast_or_not(spark, monkeypatch):
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(("The", "the,", "cat", "--", None, "Cat!", "dog"))], "id int, value string")
+    allow = spark.createDataFrame([("the",), ("cat",), ("cat",), (None,)], "term string")
+    few = sorted(map(tuple, detect.allowed_exactly(found, allow).select("id", "value", "clean").collect()))
+    monkeypatch.setattr(detect, "TERMS", 1)
+    assert sorted(map(tuple, detect.allowed_exactly(found, allow).select("id", "value", "clean").collect())) == few == [(6, "dog", "dog")]
+
+
+def test_merged_spans_against_points(spark):
+    rng = random.Random(5)
+    rows = [(c, 1, a, a + rng.randrange(1, 9)) for c in "de" for a in (rng.randrange(200) for _ in range(40))]
+    got = export.merged(spark.createDataFrame(rows, "container string, page_no bigint, start bigint, end bigint")).collect()
+    for c in "de":
+        own = sorted((r.start, r.end) for r in got if r.container == c)
+        assert all(x[1] < y[0] for x, y in zip(own, own[1:]))
+        assert {i for a, b in own for i in range(a, b)} == {i for k, _, a, b in rows if k == c for i in range(a, b)}
+
+
+def test_plan_puts_images_first_and_leaves_marks(spark):
+    at = lambda *rows: spark.createDataFrame([("d", 1, a, b) for a, b in rows], "container string, page_no bigint, start bigint, end bigint")
+    named = lambda df, term, kind: df.withColumns({"term": F.lit(term), "entity_type": F.lit(kind)})
+    blocked, found = named(at((0, 4), (20, 24)), "term", "DATA"), named(at((20, 26), (40, 46), (60, 66), (80, 86)), "found!", "PERSON")
+    got = spans.plan(blocked, found, protected=at((62, 63)), images=at((0, 9)), existing=at((41, 45)), disjoint=True).collect()
+    assert sorted((r.start, r.end, r.entity_type) for r in got) == [(0, 9, "IMAGE"), (20, 24, "DATA"), (80, 86, "PERSON")]
+
+
+def test_marks_name_their_payload_first(spark):
+    p = spark.createDataFrame([("d", 1, "by Mario Rossi, a@b.org  ")], pages.PAGES)
+    said = '{"mark":1,"original":"Mario Rossi","entity_type":"PERSON"}'
+    marks = spark.createDataFrame([("d", 1, 3, 8, said), ("d", 1, 16, 23, "no json"), ("d", 1, 23, 25, None)], "container string, page_no bigint, start bigint, end bigint, content string")
+    got = {r.start: (r.entity_type, r.value) for r in export.named_marks(p, marks).collect()}
+    assert got[3] == ("PERSON", "Mario Rossi") and got[16] == ("EMAIL_ADDRESS", "a@b.org") and got[23][0] == "IMAGE"
+
+
+def test_map_is_written_before_and_apart_from_texts(spark, tmp_path):
+    texts = spark.createDataFrame([("d", 1, "x")], pages.PAGES)
+    maps = spark.createDataFrame([("d", bytearray(b"sealed"))], "container string, content binary")
+    with pytest.raises(ValueError):
+        export.save(texts, str(tmp_path / "out"), maps, str(tmp_path / "out/map"))
+    with pytest.raises(ValueError):
+        export.save(texts, str(tmp_path / "out"), maps)
+    (tmp_path / "there").mkdir()
+    with pytest.raises(Exception):
+        export.save(texts, str(tmp_path / "out"), maps, str(tmp_path / "there"))
+    assert not (tmp_path / "out").exists()
+    export.save(texts, str(tmp_path / "out"), maps, str(tmp_path / "map"))
+    assert spark.read.parquet(str(tmp_path / "out")).columns == ["container", "page_no", "text"]
+    assert bytes(spark.read.parquet(str(tmp_path / "map")).first().content) == b"sealed"
+
+
+def test_open_files_and_refusals(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 plain")
+    (tmp_path / "b.PDF").write_bytes(b"%PDF-1.4 trailer << /Encrypt 5 0 R >>")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: r.refused for r in pages.open_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": None, "b.PDF": "password-protected", "c.txt": "not a pdf"}
+    for path in ("", None):
+        with pytest.raises(ValueError):
+            pages.open_files(spark, path)
+    with pytest.raises(Exception):
+        pages.open_files(spark, str(tmp_path / "missing.pdf")).collect()
+
+
+def test_first_folder_with_data(spark, tmp_path):
+    for name in ("none", "first", "second"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "none" / "readme").touch()
+    for name in ("first", "second"):
+        (tmp_path / name / "eng.traineddata").touch()
+    assert pages.find_data(spark, ["", *(str(tmp_path / n) for n in ("missing", "none", "second", "first"))]) == str(tmp_path / "second")
+    assert pages.find_data(spark, [str(tmp_path / "none")]) is None
+
+
+def test_page_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in (" 1 ", "5", "6", "0", "-1", "x", "", None)], "x string").select(pages.page_number(F.col("x"), F.lit(5)).alias("y")).collect()
+    assert [r.y for r in rows] == [0, 4, None, None, None, None, None, None]
