@@ -303,6 +303,18 @@ def labelled(prints: DataFrame, joined: DataFrame, key: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, keep: tuple[str, ...], width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents (columns `keep`) that are the least of their component; of rows with one key, all or none."""
-    groups = join_similar(docs, width, num, den, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_later")).distinct()
-    return docs.select(*keep).join(groups, docs[key] == groups["_later"], "left_anti")
+    """One row (columns `keep`) of each component: that of the least key, a null key last; of one key, that whose text has the least hash.
+
+    Rows equal in key and text are one row, whatever their other columns hold and empty or null as the text may be;
+    other rows without shingles stay. Texts of one key are told apart by 128 bits.
+    """
+    body = docs[text].cast("string")
+    own = F.struct(docs[key].isNull().alias("late"), docs[key].alias("key"), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))
+    groups = join_similar(docs.select(own.alias("own"), body.alias("text")), width, num, den, "own", "text")
+    later = groups.where(F.col("component_id") != F.col("own")).select("own").distinct()
+    rows = docs.select(own.alias("own"), F.struct(*(docs[c].alias(c) for c in keep)).alias("row"))
+    kept = rows.join(later, "own", "left_anti")
+    twice = materialize(rows.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select("own"), "twice")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "own", "left_anti").unionByName(kept.join(twice, "own", "left_semi").dropDuplicates(["own"]))
+    return kept.select("row.*")
