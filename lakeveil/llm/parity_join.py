@@ -9,7 +9,8 @@ fewest (ties: the lesser part) and emits a key for each of the others: the word,
 shingles' hashes, which tells apart sets of few shingles that flip the same bits. Of the equal parts, which have equal
 counts, the last in that order is left out by neither set.
 
-Sets that share a key form families (connected components). A family is compared in blocks of at most BLOCK sets: a
+The keys are joined in PARTS parts, one after the other, each from a column of its own. Sets that share a key form
+families (connected components). A family is compared in blocks of at most BLOCK sets: a
 second sketch of 1,024 bits rules pairs out by its Hamming distance, and a pair that isn't joined yet is verified on
 the whole sets. Pairs are never written: a task gives the links that join its sets, a spanning forest. Components of
 those links, with the copies of equal sets put back, are the result.
@@ -20,6 +21,8 @@ a shingle is one shingle. Repeated rows and equal texts are copies of one set. R
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +41,9 @@ SKETCH_BITS = 1024
 FILTER_BITS = 1 << 26
 #: Copies of a class's row that its documents are dealt to.
 SALT = 16
+#: Parts of the sketch keys that are joined one after the other, so that the disk holds the shuffle files of one part.
+PARTS = 4
+PART_NAMES = [f"keys{i}" for i in range(PARTS)]
 
 U = np.uint64
 
@@ -126,40 +132,42 @@ class Bands:
 
 
 def fingerprints(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, n, node, keys): size and id of each document's set, and its sketch keys where a task meets the set first. docs: key, text."""
+    """(key, n, node, keys0 to keys3): size and id of each document's set, and its sketch keys in parts where a task meets the set first. docs: key, text."""
 
     def run(batches):
         seen, bands = set(), Bands(num, den)
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, nodes, keys = [], [], []
+            n, nodes, keys = [], [], [[] for _ in range(PARTS)]
             for text in texts(batch):
                 h = shingle_set(text, width)
                 node = set_id(h) if len(h) else None
                 n.append(len(h))
                 nodes.append(node)
-                if node is None or node in seen:
-                    keys.append(None)
-                else:
+                own = None
+                if node is not None and node not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    keys.append(bands.keys(h).view(np.int64))
-            return pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "n", "node", "keys"])
+                    own = bands.keys(h)
+                for i, part in enumerate(keys):
+                    part.append(None if own is None else own[own % U(PARTS) == i].view(np.int64))
+            columns = [pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(part, pa.list_(pa.int64())) for part in keys)]
+            return pa.RecordBatch.from_arrays([column(batch, "key"), *columns], names=["key", "n", "node", *PART_NAMES])
 
         yield from per_slice(rows)(batches)
 
-    schema = T.StructType([docs.schema["key"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["key"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in PART_NAMES)])
     return docs.mapInArrow(run, schema)
 
 
-def families(prints: DataFrame) -> DataFrame:
-    """(node, component) of the sets that share a key with another set."""
+def stars(prints: DataFrame, part: str) -> DataFrame:
+    """(u, v): sets that share a key of a part with others, each with the least of these; written, so that the shuffle files can go."""
     from pyspark.sql import Window
 
-    shared = prints.where("keys is not null").select("node", F.explode("keys").alias("k"))
-    stars = shared.withColumn("least", F.min("node").over(Window.partitionBy("k"))).where("node <> least")
-    return components(stars.select(F.col("node").alias("u"), F.col("least").alias("v")))
+    shared = prints.where(F.col(part).isNotNull()).select("node", F.explode(part).alias("k"))
+    shared = shared.withColumn("least", F.min("node").over(Window.partitionBy("k"))).where("node <> least")
+    return materialize(shared.select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "stars")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -282,9 +290,11 @@ def join_similar(docs: DataFrame, width: int, num: int, den: int, key: str = "do
     """One row a document: key, n_shingles, component_id (the least key reachable by links of similarity num / den or more)."""
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     with_keys = materialize(fingerprints(df, width, num, den), "prints")
-    found = families(with_keys)
-    prints = materialize(with_keys.drop("keys"), "nodes")
+    shared = [stars(with_keys, part) for part in PART_NAMES]
+    prints = materialize(with_keys.drop(*PART_NAMES), "nodes")
     forget(with_keys)  # the keys are the largest table here
+    found = components(reduce(DataFrame.unionByName, shared))  # families
+    forget(*shared)
     bitmap = docs.sparkSession.sparkContext.broadcast(node_filter(found.select("node").union(found.select("component").distinct())))  # FILTER_BITS, whatever the input
     joined = components(verified(found, sets_of(df, bitmap, width), num, den))
     forget(found)

@@ -225,3 +225,19 @@ def test_every_shared_window_has_a_fingerprint():
         a, b = (np.concatenate([rng.integers(1, 5, rng.integers(0, 30)), span, rng.integers(1, 5, rng.integers(0, 30))]) for _ in range(2))
         prints = [set(h[winnowing.fingerprints(h, 6)].tolist()) for h in (winnowing.gram_hashes(x, 5) for x in (a, b))]
         assert prints[0] & prints[1]
+
+
+def test_sketch_keys_are_joined_in_parts(spark):
+    """No join moves all keys at once, and the parts hold every key once."""
+    import numpy as np
+
+    rows = family(60)
+    docs = cases.documents(spark, rows).selectExpr("doc_id as key", "text")
+    prints = parity_join.fingerprints(docs.coalesce(1), 3, 90, 100).collect()
+    bands, total = parity_join.Bands(90, 100), [0] * parity_join.PARTS
+    for r in prints:
+        parts = [r[c] for c in parity_join.PART_NAMES]
+        whole = bands.keys(parity_join.shingle_set(dict(rows)[r.key].encode(), 3)).view(np.int64)
+        assert sorted(k for part in parts for k in part) == sorted(whole.tolist())
+        total = [n + len(part) for n, part in zip(total, parts)]
+    assert max(total) < 0.4 * sum(total)
