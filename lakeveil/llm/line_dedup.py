@@ -117,10 +117,11 @@ def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
 
     A prefix takes as many different first words as the prefix of a set of all the line's shingles has tokens, and
     every shingle that starts with them, so only these shingles are hashed. What a line is cut at is worked out in a
-    lambda, which keeps it out of the loop over its words.
+    lambda, which keeps it out of the loop over its words. The sort is not in the lambda, where it would sort objects:
+    `firsts` is named twice, so that Spark leaves it in a step of its own.
     """
-    started = lines.withColumn("start", starts(F.col("h"), levels))
-    cut = F.transform(F.array(F.array_distinct(F.sort_array("start"))), lambda firsts: F.coalesce(F.get(firsts, longer_prefix(F.size("start"))), F.lit(MOST)))
+    started = lines.withColumn("start", starts(F.col("h"), levels)).withColumn("firsts", F.array_distinct(F.sort_array("start")))
+    cut = F.transform(F.array(longer_prefix(F.size("start"))), lambda most: F.when(F.size("firsts") > most, F.get("firsts", most)).otherwise(F.lit(MOST)))
     rows = started.withColumn("cut", F.get(cut, F.lit(0))).select("key", "no", "id", "h", "cut", F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), "start")).alias("i", "x")).where(F.coalesce(F.col("x") < F.col("cut"), F.lit(False)))
     return rows.select("key", "no", "id", F.when(F.col("i") > 0, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
 

@@ -241,3 +241,11 @@ def test_sketch_keys_are_joined_in_parts(spark):
         assert sorted(k for part in parts for k in part) == sorted(whole.tolist())
         total = [n + len(part) for n, part in zip(total, parts)]
     assert max(total) < 0.4 * sum(total)
+
+
+def test_prefixes_sort_numbers_outside_of_lambdas(spark):
+    """Within a lambda Spark sorts objects; the step before it sorts plain numbers."""
+    docs = cases.documents(spark, family(3)).selectExpr("doc_id as key", "text")
+    plan = line_dedup.prefixes(line_dedup.hashed(line_dedup.lines_of(docs)), line_dedup.rarity_levels(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(array_distinct(sort_array" not in plan
+    assert "array_distinct(sort_array(start" in plan
