@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions alone.
 
-A line is the set of its distinct five-word shingles, its tokens. Tokens are ordered by rarity: by how often their
-first word occurs in all documents (counted by hash bucket, in powers of two), then by that bucket's number, then by the
-hash of all five. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1
+A line is the set of its distinct five-word shingles, its tokens. Tokens are ordered by the rarity of their first word,
+for which its length stands (a long word is rare, and counting all words takes a pass over the texts), then by that
+word's hash, then by the hash of all five. Any order gives the same result. Two lines with a Jaccard similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1
 of the longer and the first n - ceil(8/9 n) + 1 of the shorter (prefix filter). Lengths and the places of the shared
 token bound the overlap further (length and positional filters), and 256 parities of the tokens bound the difference
 from below; what remains is verified on the whole sets.
@@ -23,7 +23,7 @@ key keep their text and take no part. Rows with one key are not told apart: equa
 count as one place and stay, others there are ordered by their hash. Other columns stay as they are, whatever their
 names. Very long lines are sets like others. An empty table gives an empty result.
 
-Lines are known by 128 bits, tokens by 63 bits (19 of the first word, 44 of all five).
+Words are known by their length and 60 bits, lines by 128 bits, tokens by 64 bits (20 of the first word, 44 of all five).
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .shared import clean_shuffles, forget, materialize
 
 WIDTH = 5
-BUCKETS = 1 << 13
 #: Rows of a few numbers each up to which a table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for a table of one number a row.
@@ -45,9 +44,13 @@ BROADCAST_TOKENS = 2_000_000
 SAMPLES = (8, 64, 512)
 #: Copies of a line's row that its occurrences are dealt to.
 SALT = 16
-#: Bits of a token that are of all its words; above them are the bucket of the first word and, from bit 57 on, its level.
+#: Bits of a token that are of all its words; above them are the first of its first word's.
 HASH = (1 << 44) - 1
 MOST = (1 << 63) - 1
+#: Bits of a word that are of its hash; above them is its level.
+WORD = (1 << 60) - 1
+#: By the bytes of a word, what its level adds to it; words of 16 bytes or more have the least.
+LEVELS, LEAST = [(8 - max(n, 1)) << 60 for n in range(16)], -8 << 60
 #: White space but the space and the line feed, and what their UTF-8 forms begin with, as hexadecimal digits.
 OTHER_SPACE = r"[\t\x0B\f\r\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ASCII_MARKS, WIDE_MARKS = ("09", "0B", "0C", "0D"), ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080")
@@ -61,14 +64,9 @@ def spaced(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
 
 
-def rarity_levels(texts: DataFrame) -> Column:
-    """A constant array: for each hash bucket of words, the power of two of its occurrences in all texts, then its number, as high bits of a token. texts: text."""
-    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
-    levels = [b << 44 for b in range(BUCKETS)]
-    for r in counts:
-        levels[r.b] |= ((r.n + 1).bit_length() - 1) << 57
-    return F.from_json(F.lit(str(levels)), "array<bigint>")
+def rarity_levels(texts: DataFrame | None = None) -> Column:
+    """A constant array: by the bytes of a word, its level as high bits; nothing is read off the texts."""
+    return F.from_json(F.lit(str(LEVELS)), "array<bigint>")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,21 +84,22 @@ def lines_at(docs: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def hashed(lines: DataFrame) -> DataFrame:
-    """With the hashes of the line's words (h), and of all of them (id), in place of the line."""
+    """With the hashes of the line's words (h; a longer word's is less), and of all of them (id), in place of the line."""
     gaps = F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
     words = F.when(gaps, F.array_remove(F.split("line", " "), "")).otherwise(F.split("line", " "))
-    words = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w))).drop("line")
+    level = lambda w: F.coalesce(F.get(rarity_levels(), F.octet_length(w)), F.lit(LEAST))
+    words = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(WORD)).bitwiseOR(level(w)))).drop("line")
     return words.withColumn("id", F.struct(F.xxhash64("h").alias("a"), F.xxhash64(F.lit(1), "h").alias("b")))
 
 
-def starts(h: Column, levels: Column) -> Column:
-    """The order of a line's shingles by their first words: level and bucket, in the high bits."""
-    return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))), lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)))
+def starts(h: Column) -> Column:
+    """The first words of a line's shingles."""
+    return F.slice(h, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0)))
 
 
 def token(start: Column, h: Column, at: Column) -> Column:
     words = F.xxhash64(*(F.get(h, at + k) for k in range(WIDTH)))
-    return start.bitwiseOR(words.bitwiseAND(F.lit(HASH)))
+    return start.bitwiseAND(F.lit(~HASH)).bitwiseOR(words.bitwiseAND(F.lit(HASH)))
 
 
 def longer_prefix(n: Column) -> Column:
@@ -112,24 +111,27 @@ def shorter_prefix(n: Column) -> Column:
     return (n - F.ceil(n * 8 / F.lit(9.0) - 1e-9) + 1).cast("int")
 
 
-def prefixes(lines: DataFrame, levels: Column) -> DataFrame:
-    """(key, no, id, token) of lines (key, no, id, h): a row without a token for each line, and one for each token of its prefix.
+def prefixes(lines: DataFrame, levels: Column | None = None) -> DataFrame:
+    """(key, no, a, b, token) of lines (key, no, id, h): a row without a token for each line, and one (a, token) for each token of its prefix.
 
     A prefix takes as many different first words as the prefix of a set of all the line's shingles has tokens, and
-    every shingle that starts with them, so only these shingles are hashed. What a line is cut at is worked out in a
-    lambda, which keeps it out of the loop over its words. The sort is not in the lambda, where it would sort objects:
-    `firsts` is named twice, so that Spark leaves it in a step of its own.
+    every shingle whose first word is not above them in the bits that order tokens, so only these shingles are hashed.
+    Few first words repeat, so they are looked for among twice as many, and among all where these don't suffice. The
+    sort is in a step of its own and not in a lambda, where it would sort objects. levels: not used, as words have theirs.
     """
-    started = lines.withColumn("start", starts(F.col("h"), levels)).withColumn("firsts", F.array_distinct(F.sort_array("start")))
-    cut = F.transform(F.array(longer_prefix(F.size("start"))), lambda most: F.when(F.size("firsts") > most, F.get("firsts", most)).otherwise(F.lit(MOST)))
-    rows = started.withColumn("cut", F.get(cut, F.lit(0))).select("key", "no", "id", "h", "cut", F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), "start")).alias("i", "x")).where(F.coalesce(F.col("x") < F.col("cut"), F.lit(False)))
-    return rows.select("key", "no", "id", F.when(F.col("i") > 0, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
+    started = lines.withColumn("start", starts(F.col("h")))
+    most, in_order = longer_prefix(F.size("start")), F.sort_array("start")
+    last = F.coalesce(F.get(F.array_distinct(F.slice(in_order, F.lit(1), most * 2)), most - 1), F.get(F.array_distinct(in_order), most - 1), F.lit(MOST))
+    cut = started.withColumn("cut", last.bitwiseOR(F.lit(HASH)))
+    whole = F.col("i") == 0
+    rows = cut.select("key", "no", "id", "h", "cut", F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), "start")).alias("i", "x")).where(whole | (F.col("x") <= F.col("cut")))
+    return rows.select(F.when(whole, F.col("key")).alias("key"), F.when(whole, F.col("no")).alias("no"), F.col("id.a").alias("a"), F.when(whole, F.col("id.b")).alias("b"), F.when(~whole, token(F.col("x"), F.col("h"), F.col("i") - 1)).alias("token"))
 
 
-def with_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """Lines (at least WIDTH words; h) with their tokens in order."""
-    whole = F.transform("start", lambda x, i: token(x, F.col("h"), i))
-    return lines.withColumn("start", starts(F.col("h"), levels)).withColumn("tokens", F.array_distinct(F.sort_array(whole))).drop("start", "h")
+def with_sets(lines: DataFrame) -> DataFrame:
+    """Lines (at least WIDTH words; h) with their tokens in order. The hashes are a lambda's argument, which is cheaper to look into than a column."""
+    whole = F.transform(F.array("h"), lambda h: F.transform(starts(h), lambda x, i: token(x, h, i)))
+    return lines.withColumn("tokens", F.array_distinct(F.sort_array(F.get(whole, F.lit(0))))).drop("h")
 
 
 def sizes_of(sets: DataFrame) -> DataFrame:
@@ -173,10 +175,11 @@ def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def repeats(sets: DataFrame) -> DataFrame:
-    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens."""
+def repeats(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """The lines (ord) that an earlier one matches. sets: ord (their order), tokens; shared: a written table of all tokens that two lines' prefixes may share."""
     sizes = materialize(sizes_of(sets), "sizes")
     rows = sets.select("ord", F.posexplode(F.slice("tokens", F.lit(1), longer_prefix(F.size("tokens")))).alias("p", "token"))
+    rows = rows.join(small_side(shared, BROADCAST_TOKENS), "token", "left_semi")
     groups = rows.groupBy("token").agg(F.min("ord").alias("first"), F.count("*").alias("many")).where("many > 1")
     met = materialize(rows.join(groups, "token").join(small_side(sizes), "ord"), "met")
 
@@ -204,9 +207,9 @@ def repeats(sets: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of the documents with all its columns, the text without its repeated lines, and n_lines and n_removed."""
     df = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
-    lines, levels = lines_of(df), rarity_levels(df)
-    rows = materialize(prefixes(hashed(lines), levels), "prefixes")
-    every, tokens = rows.where("token is null").drop("token"), rows.where("token is not null").select("id.a", "token")
+    rows = materialize(prefixes(hashed(lines_of(df))), "prefixes", {"parquet.enable.dictionary#token": "false"})
+    every = materialize(rows.where("token is null").select("key", "no", F.struct("a", "b").alias("id")), "lines")
+    tokens = rows.where("token is not null").select("a", "token")
 
     shared = materialize(tokens.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("token"), "shared")
     some = materialize(tokens.join(small_side(shared, BROADCAST_TOKENS), "token").select("a").distinct(), "some")
@@ -214,11 +217,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     ordered = materialize(first.orderBy("at", "id").select("id", "at", F.monotonically_increasing_id().alias("ord")), "ordered")
     at = ordered.groupBy("at.key").agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "ord", F.col("id").alias("own"))).alias("places"))  # lines of one document
     there = hashed(lines_at(df, small_side(materialize(at, "at")))).select("ord", "h", F.coalesce(F.col("id") == F.col("own"), F.lit(False)).alias("same"))
-    sets = materialize(with_sets(there, levels), "sets").where("same").drop("same")  # tested where it is read, lest the test hash the words again
+    sets = materialize(with_sets(there), "sets").where("same").drop("same")  # tested where it is read, lest the test hash the words again
     if sets.count() > ordered.count():  # rows that occur more than once
         sets = materialize(sets.dropDuplicates(["ord"]), "sets")
-    removed = repeats(sets).join(ordered.select("ord", "id"), "ord").select("id", F.lit(True).alias("gone"))
-    forget(shared, some, sets)
+    removed = repeats(sets, shared).join(ordered.select("ord", "id"), "ord").select("id", F.lit(True).alias("gone"))
+    forget(rows, shared, some, sets)
 
     again = materialize(every.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id"), "again")
     copies = every.join(small_side(again), "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "no")).alias("first"))
@@ -231,7 +234,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         marked = every.select("key", "no", "id", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")).join(salted, ["id", "salt"])
     gone = marked.where(F.col("gone") | (F.struct("key", "no") != F.col("first"))).groupBy("key").agg(F.collect_set("no").alias("gone"))
     gone = materialize(gone, "gone")
-    forget(rows, ordered, again, flags)
+    forget(every, ordered, again, flags)
     clean_shuffles(docs.sparkSession)
     return without_lines(docs, gone, key, text)
 
@@ -240,7 +243,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str, text: str) -> Data
     """The documents without the lines whose places are in gone (key, gone)."""
     own = [c for c in docs.columns if c != text]
     df = docs.select(F.struct(*own).alias("_row"), docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
-    df = df.join(gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")).hint("merge"), "_key", "left")
+    df = df.join(gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")).hint("shuffle_hash"), "_key", "left")
     lines = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     out = df.withColumn("_lines", F.when(F.size("_gone") > 0, lines))

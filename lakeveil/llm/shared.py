@@ -38,11 +38,11 @@ def clean_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write a table to the shared folder (with the writer's options) and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeveil-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     clean_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeveil_path = path

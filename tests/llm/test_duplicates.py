@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lakeveil.llm import components, line_dedup, parity_join, queries, winnowing
 
 from . import cases
@@ -249,3 +251,26 @@ def test_prefixes_sort_numbers_outside_of_lambdas(spark):
     plan = line_dedup.prefixes(line_dedup.hashed(line_dedup.lines_of(docs)), line_dedup.rarity_levels(docs))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(array(array_distinct(sort_array" not in plan
     assert "array_distinct(sort_array(start" in plan
+
+
+def test_order_of_tokens_takes_no_pass_over_the_texts(spark):
+    unread = spark.range(1).select(F.raise_error(F.lit("the texts were read")).cast("string").alias("text"))
+    line_dedup.rarity_levels(unread)
+
+
+def test_prefixes_hold_the_first_tokens_of_sets(spark):
+    """Also where first words repeat so often that twice as many don't suffice."""
+    rng = random.Random(21)
+    pool = ["a", "bb", "é", "dddd", "eeeeeeeeeeee", "f" * 40]
+    rows = [(i, "\n".join(" ".join(rng.choices(pool[: rng.randrange(1, 7)], k=rng.randrange(1, 90))) for _ in range(3))) for i in range(60)]
+    lines = line_dedup.hashed(line_dedup.lines_of(cases.documents(spark, rows).selectExpr("doc_id as key", "text")))
+    own, tokens = [], {}
+    for r in line_dedup.prefixes(lines).collect():
+        if r.token is None:
+            own.append((r.key, r.no))
+        else:
+            assert r.key is r.no is r.b is None
+            tokens.setdefault(r.a, set()).add(r.token)
+    assert sorted(own) == [(i, no) for i in range(60) for no in range(3)]
+    for r in line_dedup.with_sets(lines.where("size(h) >= 5")).collect():
+        assert r.tokens == sorted(set(r.tokens)) and set(r.tokens[: len(r.tokens) - -(-len(r.tokens) * 4 // 5) + 1]) <= tokens[r.id.a]
