@@ -19,7 +19,8 @@ from run to run up to the rounding of doubles.
 
 Word statistics cover all training texts. They grow with the input and stay distributed: only words with at least
 N / HOT occurrences (so HOT words at most) are broadcast; the others' rows meet their counts in a join by word. The
-expected counts are one number a piece, as many as the vocabulary has.
+expected counts are one number a piece, as many as the vocabulary has. Words of SHORT characters or fewer are summed up
+in plain numbers, others, and those whose sums are too small for that, in logarithms; both give the same sums.
 
 Null, empty and blank texts consist of the end token; a null key counts as training; every row gives one row,
 repeated rows too; other columns are left out; an empty table gives an empty result. A very long word is read by the
@@ -52,6 +53,8 @@ ROUNDS = 2
 PRIOR = 10_000.0
 #: Characters of a word that are held at a time to learn from it.
 STRETCH = 4096
+#: Characters up to which a word is summed up in plain numbers, and the least sum for which that is precise.
+SHORT, LEAST_SUM = 48, 1e-200
 #: Distinct words that a worker gathers before it hands counts on.
 GATHER = 250_000
 #: The end token; no word is empty.
@@ -95,12 +98,15 @@ class Lattice:
     def __init__(self, weights: Weights):
         import ahocorasick
 
-        self.automaton, self.width = ahocorasick.Automaton(), 2
+        self.automaton, self.width, self.plain = ahocorasick.Automaton(), 2, ahocorasick.Automaton()
+        self.single = {piece for piece, _ in weights.pieces if len(piece) == 1}
         go_on = math.log1p(-weights.stop)
         for i, (piece, w) in enumerate(weights.pieces):
             self.automaton.add_word(piece, (len(piece), w + go_on, i))
+            self.plain.add_word(piece, (len(piece), math.exp(w + go_on), i))
             self.width = max(self.width, len(piece) + 1)
         self.automaton.make_automaton()
+        self.plain.make_automaton()
         self.unknown, self.end = math.log(weights.unknown) + go_on, math.log(weights.stop) - go_on + math.log(1 - END_SHARE)
 
     def arcs(self, text: str) -> Iterator[list[tuple[int, float, int]]]:
@@ -116,10 +122,21 @@ class Lattice:
             if arc:
                 here.append(arc)
 
+    def sums(self, text: str) -> tuple[list[tuple[int, tuple[int, float, int]]], list[float]] | None:
+        """All arcs (last place, (size, weight, piece)) by their ends, and the sums over the paths to each place; None where logarithms are needed: for long texts, characters that are no piece, and very small sums."""
+        if len(text) > SHORT or not self.single.issuperset(text):
+            return None
+        arcs, forward = list(self.plain.iter(text)), [1.0] + [0.0] * len(text)
+        for last, (size, w, _) in arcs:
+            forward[last + 1] += forward[last + 1 - size] * w
+        return (arcs, forward) if forward[-1] > LEAST_SUM else None
+
     def log_marginal(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations; the end token's share for no word."""
         if not word:
             return math.log(END_SHARE)
+        if short := self.sums(SPACE + word):
+            return math.log(short[1][-1]) + self.end
         ring, width, at = [0.0] * self.width, self.width, 0
         for at, arcs in enumerate(self.arcs(SPACE + word), 1):
             ring[at % width] = log_sum([ring[(at - size) % width] + w for size, w, _ in arcs])
@@ -129,6 +146,14 @@ class Lattice:
         """Add how often each piece is expected in the word's segmentations."""
         text = SPACE + word
         found[WORDS] += 1
+        if short := self.sums(text):
+            arcs, forward = short
+            backward = [0.0] * len(text) + [1 / forward[-1]]
+            for last, (size, w, piece) in reversed(arcs):
+                if own := backward[last + 1] * w:
+                    backward[last + 1 - size] += own
+                    found[piece] += own * forward[last + 1 - size]
+            return
         for start in range(0, len(text), STRETCH):
             lattice, forward = list(self.arcs(text[start : start + STRETCH])), [0.0]
             for at, arcs in enumerate(lattice, 1):

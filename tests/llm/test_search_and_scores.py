@@ -142,6 +142,26 @@ def test_a_long_word_is_learned_in_stretches():
     assert found[lattice.WORDS] == 1
 
 
+def test_short_words_need_no_logarithms(monkeypatch):
+    rng, model = random.Random(5), lattice.Lattice(lattice.piece_weights(WEIGHTS))
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, lattice.SHORT))) for _ in range(60)]
+
+    def read(word):
+        found = defaultdict(float)
+        model.expect(word, found)
+        return {k: n for k, n in found.items() if n}, model.log_marginal(word)
+
+    monkeypatch.setattr(lattice, "SHORT", 0)
+    want = [read(w) for w in words]
+    odd = [read(w) for w in ("é" * 30, "aé" * 9, "ab" * 40)]
+    monkeypatch.undo()
+    assert [read(w) for w in ("é" * 30, "aé" * 9, "ab" * 40)] == odd
+    monkeypatch.setattr(lattice.Lattice, "arcs", None)
+    for word, (found, marginal) in zip(words, want):
+        counts, log = read(word)
+        assert counts == pytest.approx(found, rel=1e-9) and log == pytest.approx(marginal, rel=1e-12)
+
+
 @pytest.mark.parametrize("hot", [lattice.HOT, 3])
 def test_scores_of_texts(spark, hot):
     rows = cases.awkward()
