@@ -57,10 +57,9 @@ ASCII_MARKS, WIDE_MARKS = ("09", "0B", "0C", "0D"), ("C285", "C2A0", "E19A80", "
 
 
 def spaced(text: Column) -> Column:
-    """The text with spaces for all white space but line feeds; places stay. Plain searches go before the pattern."""
+    """The text with spaces for all white space but line feeds; places stay. Plain searches go before the pattern; counting characters would cost more than all of them."""
     raw = text.cast("binary")
-    any_of = lambda marks: reduce(Column.__or__, (F.contains(raw, F.lit(bytes.fromhex(m))) for m in marks))
-    odd = any_of(ASCII_MARKS) | ((F.octet_length(text) > F.length(text)) & any_of(WIDE_MARKS))
+    odd = reduce(Column.__or__, (F.contains(raw, F.lit(bytes.fromhex(m))) for m in (*ASCII_MARKS, *WIDE_MARKS)))
     return F.when(odd, F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
 
 
@@ -77,10 +76,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def lines_at(docs: DataFrame, at: DataFrame) -> DataFrame:
     """(no, ord, own, line) of the lines at chosen places. docs: key, text, neither null; at: key, places (an array of no, ord, own).
 
-    A text is parted once, in a lambda's argument; only the lines asked for become rows.
+    A text is parted once, in a lambda's argument; only the lines asked for become rows, and are searched for white space.
     """
-    chosen = F.transform(F.array(F.split(spaced(F.col("text")), "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.no, p.ord, p.own, F.get(lines, p.no).alias("line"))))
-    return docs.join(at, "key").select(F.inline(F.get(chosen, F.lit(0)))).where("line is not null")
+    chosen = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.no, p.ord, p.own, F.get(lines, p.no).alias("line"))))
+    return docs.join(at, "key").select(F.inline(F.get(chosen, F.lit(0)))).where("line is not null").withColumn("line", spaced(F.col("line")))
 
 
 def hashed(lines: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str, text: str) -> Data
     lines = F.split("_text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     out = df.withColumn("_lines", F.when(F.size("_gone") > 0, lines))
-    n_lines = F.when(F.col("_text") == "", 0).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(F.col("_text") == "", 0).otherwise(F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
     fields = [F.array_join(kept, "\n") if c == text else F.col(f"_row.{c}") for c in docs.columns]
     fields = [F.when(F.size("_gone") > 0, x).otherwise(F.col("_text")).alias(c) if c == text else x.alias(c) for c, x in zip(docs.columns, fields)]
     return out.select(*fields, F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.when(F.size("_gone") > 0, F.size("_gone")), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -292,6 +292,16 @@ def test_prefixes_sort_numbers_outside_of_lambdas(spark):
     assert "array_distinct(sort_array(start" in plan
 
 
+def test_chosen_lines_alone_are_searched_for_white_space(spark):
+    text = "a\tb\n\u2003c d\u00a0e\n\nf\u3000g é\n\x0bh"
+    docs = spark.createDataFrame([(1, text), (2, "plain\nlines é")], "key bigint, text string")
+    at = spark.createDataFrame([(1, [(0, 7, 70), (1, 8, 80), (3, 9, 90), (9, 10, 100)]), (2, [(1, 11, 110)])], "key bigint, places array<struct<no:int,ord:bigint,own:bigint>>")
+    got = line_dedup.lines_at(docs, at)
+    assert sorted(map(tuple, got.collect())) == [(0, 7, 70, "a b"), (1, 8, 80, " c d e"), (1, 11, 110, "lines é"), (3, 9, 90, "f g é")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(cast(line" in plan and "contains(cast(text" not in plan
+
+
 def test_order_of_tokens_takes_no_pass_over_the_texts(spark):
     unread = spark.range(1).select(F.raise_error(F.lit("the texts were read")).cast("string").alias("text"))
     line_dedup.rarity_levels(unread)
